@@ -29,6 +29,8 @@ FLOORS = {"length": 0.12, "symbols": 0.10, "dup_lines": 0.15, "repeats": 0.15}
 DIMS = tuple(FLOORS)
 #: Squared distance with four degrees of freedom that a Gaussian row passes with a chance of 1e-9.
 CUTOFF = 46.2
+#: Groups (languages and sources) up to which their estimates are broadcast; that many take about 20 MB.
+MOST_GROUPS = 50_000
 
 
 def repeated_words(words: Column, window: int = 8) -> Column:
@@ -118,9 +120,14 @@ def _distance(df: DataFrame) -> DataFrame:
     return df.withColumn("_d2", sum((F.col(f"_z{i}") * F.col(f"_z{i}") for i in range(d)), F.lit(0.0))).drop(*(f"_z{i}" for i in range(d)))
 
 
+def _bounded(staged: DataFrame, most: int = MOST_GROUPS) -> DataFrame:
+    """A staged table to be broadcast if its rows, which are counted, are few; else it is joined by a shuffle."""
+    return F.broadcast(staged) if staged.limit(most + 1).count() <= most else staged
+
+
 def _with(df: DataFrame, params: DataFrame) -> DataFrame:
-    """Joins a group's parameters; the smaller side is broadcast only where Spark finds it below its threshold."""
-    p = params.withColumnRenamed("_g", "_pg")
+    """Joins a group's parameters: a few hundred bytes a group, so rows of a hot group stay where they are."""
+    p = _bounded(params).withColumnRenamed("_g", "_pg")
     return df.join(p, F.col("_g") == F.col("_pg")).drop("_pg")
 
 
@@ -140,11 +147,11 @@ def fit(stats: DataFrame, part: float = 0.75, steps: int = 6, least: int = 200)
         .otherwise(F.lit("all"))
     )
     named = stage(named.select("lang", "source", group.alias("_g")), "groups")
-    pick = named.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), F.col("_g").alias("_own"))
+    pick = _bounded(named).select(F.col("lang").alias("_l"), F.col("source").alias("_s"), F.col("_g").alias("_own"))
     keyed = rows.join(pick, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")))
     # A pooled estimate takes all rows of the language or table, not only those of its small sources.
     levels = [F.col("_own"), F.to_json(F.struct(F.lit("l").alias("k"), "lang")), F.lit("all")]
-    wanted = named.select("_g").distinct().withColumnRenamed("_g", "_w")
+    wanted = _bounded(stage(named.select(F.col("_g").alias("_w")).distinct(), "wanted"))
     cells = keyed.select(*(f"_x{i}" for i in range(len(DIMS))), F.explode(F.array_distinct(F.array(*levels))).alias("_g"))
     cells = stage(cells.join(wanted, F.col("_g") == F.col("_w"), "left_semi"), "vectors")
 
@@ -159,15 +166,15 @@ def fit(stats: DataFrame, part: float = 0.75, steps: int = 6, least: int = 200)
     params = stage(params, "estimate")
     for _ in range(steps):
         far = _distance(_with(cells, params))
-        border = far.groupBy("_g").agg(F.percentile_approx("_d2", F.lit(part), F.lit(1000)).alias("_b")).withColumnRenamed("_g", "_bg")
-        near = far.join(border, F.col("_g") == F.col("_bg")).filter("_d2 <= _b")
+        border = stage(far.groupBy(F.col("_g").alias("_bg")).agg(F.percentile_approx("_d2", F.lit(part), F.lit(1000)).alias("_b")), "border")
+        near = far.join(_bounded(border), F.col("_g") == F.col("_bg")).filter("_d2 <= _b")
         params = stage(_factor(near.groupBy("_g").agg(*_moments())), "estimate")
     return stage(named.join(params.withColumnRenamed("_g", "_pg"), F.col("_g") == F.col("_pg")).drop("_g", "_pg"), "estimates")
 
 
 def judge(stats: DataFrame, estimates: DataFrame, cutoff: float = CUTOFF, part_scale: float = 1.6) -> DataFrame:
     """Adds base_failed, distance (squared) and kept. ``part_scale`` undoes the narrowing of the scatter by the kept part."""
-    e = estimates.withColumnRenamed("lang", "_el").withColumnRenamed("source", "_es")
+    e = _bounded(estimates).withColumnRenamed("lang", "_el").withColumnRenamed("source", "_es")
     far = _distance(vector(stats).join(e, F.col("lang").eqNullSafe(F.col("_el")) & F.col("source").eqNullSafe(F.col("_es")), "left"))
     d2 = F.col("_d2") / part_scale
     extra = [f"_x{i}" for i in range(len(DIMS))] + [c for c in estimates.columns if c not in ("lang", "source")] + ["_el", "_es", "_d2"]
