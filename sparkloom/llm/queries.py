@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import hilbert, mixing, quality, simhash
+import corpus_pipeline
+from sparkloom.llm import hilbert, licenses, mixing, pages, pieces, quality, seedextend, simhash, syncmers, tokencount
 
 
 def queries() -> dict:
     return {
+        "op1_separator_scan": tokencount.op1_query,
+        "op2_license_join": licenses.op2_query,
+        "op3_unigram_viterbi": pieces.op3_query,
+        "op4_closed_syncmers": syncmers.op4_query,
         "op5_entropy_mix": mixing.op5_query,
+        "op6_hilbert_shards": hilbert.op6_query,
+        "op7_seed_extend": seedextend.op7_query,
+        "op8_host_suffixes": pages.op8_query,
         "op9_simhash_deletion": simhash.op9_query,
         "op10_mcd_quality": quality.op10_query,
-        "op6_hilbert_shards": hilbert.op6_query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_entropy_mix": mixing.OP5_SQL, "op6_hilbert_shards": hilbert.OP6_SQL}
+    out = {
+        "op2_license_join": licenses.OP2_SQL,
+        "op5_entropy_mix": mixing.OP5_SQL,
+        "op6_hilbert_shards": hilbert.OP6_SQL,
+        "op7_seed_extend": seedextend.OP7_SQL,
+    }
+    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
