@@ -19,7 +19,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    pass
+    from sparkloom.plans import audit, retrieval, structure, upkeep  # noqa: F401  they register themselves
 
 
 def queries() -> dict:
