@@ -97,13 +97,13 @@ q AS (SELECT item_id AS query_id, 'getUserAuth db-config rate limit ' || text AS
 w AS (SELECT query_id, query, unnest(t) AS token, generate_subscripts(t, 1) AS p FROM (SELECT *, list_filter(regexp_split_to_array(trim(query), '\s+'), lambda x: x <> '') AS t FROM q)),
 c AS (SELECT *, regexp_replace(token, '^[^\w-]+|[^\w-]+$', '', 'g') AS core FROM w),
 pt AS (SELECT query_id, p, lower(unnest(l)) AS part, generate_subscripts(l, 1) AS i FROM (SELECT query_id, p, {_PARTS.format(c='core')} AS l FROM c WHERE regexp_matches(core, '[_-]|[a-z0-9][A-Z]|[A-Z][A-Z][a-z]'))),
-new AS (SELECT query_id, part AS n, [p, 0, i, 0] AS at FROM pt
+new AS (SELECT query_id, part AS n, [p, 0, i, 0] AS place FROM pt
   UNION ALL SELECT query_id, syn, [p, 1, k, 0] FROM c JOIN syn ON word = lower(core)
   UNION ALL SELECT query_id, syn, [p, 2, i, k] FROM pt JOIN syn ON word = part
   UNION ALL SELECT query_id, syn, [1000000000, 0, k, 0] FROM q JOIN syn ON contains(word, ' ') AND contains(lower(query), word)),
-f AS (SELECT query_id, n, min(at) AS at FROM new GROUP BY ALL),
+f AS (SELECT query_id, n, min(place) AS place FROM new GROUP BY ALL),
 g AS (SELECT f.* FROM f WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.query_id = f.query_id AND lower(w.token) = f.n))
-SELECT query_id, query || coalesce(' ' || string_agg(n, ' ' ORDER BY at), '') AS expanded FROM q LEFT JOIN g USING (query_id) GROUP BY query_id, query
+SELECT query_id, query || coalesce(' ' || string_agg(n, ' ' ORDER BY place), '') AS expanded FROM q LEFT JOIN g USING (query_id) GROUP BY query_id, query
 """
 
 
