@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.flattext import SPAN_BASE, U, Words, mix, pieces, powers, rolling, sliding_min
@@ -104,7 +104,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _cutter(schema: pa.Schema | None, columns: list[str]):
+def _cutter(columns: list[str]):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, spans = batch.column("text"), batch.column("__spans")
@@ -142,7 +142,12 @@ def _cutter(schema: pa.Schema | None, columns: list[str]):
 
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("t"), text.alias("text"), *more)
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), text_mark(text).alias("t"), text.alias("text"), *more)
+
+
+def text_mark(text: Column) -> Column:
+    """24 bits that tell rows of one doc_id apart; where doc_id is a key it only travels along, so it is short."""
+    return F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFF).cast("long"))
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
@@ -150,25 +155,29 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     arrow_limits(docs.sparkSession)
     texts = keyed(docs)
     anchors = texts.mapInArrow(_anchors, ANCHOR)
-    often = anchors.groupBy("h").agg(F.count("*").alias("_n")).filter("_n > 1").select("h")
+    # Staged, so that the join below it has a shuffle on either side and a hot anchor's partition can be split.
+    often = stage(anchors.groupBy("h").agg(F.count("*").alias("_n")).filter("_n > 1").select("h"), "often")
+    release(docs.sparkSession)
     seeds = stage(anchors.join(often, "h", "left_semi"), "seeds")
     release(docs.sparkSession)
     classes = seeds.groupBy("h", "ctx").agg(F.min(F.struct("doc", "t", "start")).alias("f"), F.count("*").alias("often"), F.min("n").alias("n"))
     classes = stage(classes, "stretches")
-    several = classes.groupBy("h").agg(F.count("*").alias("_k")).filter("_k > 1").select("h")
+    several = stage(classes.groupBy("h").agg(F.count("*").alias("_k")).filter("_k > 1").select("h"), "several")
     apart = classes.join(several, "h", "left_semi").select("h", "ctx", "f.*", "n")
     given = apart.groupBy(F.col("doc").alias("_d"), F.col("t").alias("_t")).agg(F.collect_list(F.struct("h", "ctx", "start", "n")).alias("given"))
     extended = texts.join(given, (F.col("doc") == F.col("_d")) & (F.col("t") == F.col("_t"))).select("doc", "t", "text", "given")
     windows = stage(extended.mapInArrow(_windows, "h long, ctx long, w long, i int, doc long, t long, start int"), "windows")
     release(docs.sparkSession)
     earliest = windows.groupBy("h", "w").agg(F.min(F.struct("doc", "t", "start")).alias("e"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    earliest = stage(earliest, "earliest")
     later = windows.join(earliest, ["h", "w"]).filter(F.struct("doc", "t", "start") > F.col("e"))
     masks = later.groupBy("h", "ctx").agg(F.bit_or(F.expr("shiftleft(1, i)")).alias("mask"))
     judged = classes.join(masks, ["h", "ctx"], "left").filter("often > 1 or mask is not null").select("h", "ctx", "f", F.coalesce("mask", F.lit(0)).alias("mask"))
+    judged = stage(judged, "judged")
     full = F.expr("shiftleft(1, n) - 1")
     marks = seeds.join(judged, ["h", "ctx"]).withColumn("mask", F.when(F.struct("doc", "t", "start") == F.col("f"), F.col("mask")).otherwise(full))
     marks = stage(marks.filter("mask <> 0").select("doc", "t", "start", "mask"), "marks")
-    drop(seeds, classes, windows)
+    drop(often, several, earliest, judged, seeds, classes, windows)
     release(docs.sparkSession)
     return marks
 
@@ -179,11 +188,11 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     marks = repeated_windows(docs)
     spans = marks.groupBy(F.col("doc").alias("__d"), F.col("t").alias("__u")).agg(F.collect_list(F.struct("start", "mask")).alias("__spans"))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    t = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    t = text_mark(F.coalesce(F.col("text").cast("string"), F.lit("")))
     joined = docs.withColumn("__doc", key).withColumn("__t", t).join(spans, (F.col("__doc") == F.col("__d")) & (F.col("__t") == F.col("__u")), "left")
     columns = [*docs.columns, "__n_words", "__n_removed", "__sha"]
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", __n_words long, __n_removed long, __sha string"
-    return joined.select(*docs.columns, "__spans").mapInArrow(_cutter(None, columns), out)
+    return joined.select(*docs.columns, "__spans").mapInArrow(_cutter(columns), out)
 
 
 def op7_query(spark, sf_dir: str) -> DataFrame:
