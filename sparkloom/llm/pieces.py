@@ -8,8 +8,8 @@ at a score below all pieces.
 A space becomes the marker U+2581 and one marker is put in front; decoding undoes both. A literal U+2581 in a text is written as bytes, so decoding
 gives back every text exactly.
 
-No piece has a marker behind another character, and no piece has a control character; where that holds (it is checked) every best path
-passes the border before a marker and those around a line end, so a text falls into short units that are solved on their own. Units
+No piece has a marker behind another character, and most control characters are in no longer piece; where that holds (it is checked) every best
+path passes the border before a marker and those around such a character, so a text falls into short units that are solved on their own. Units
 already solved come from a bounded memo; new ones are solved together: the trie is walked from all places at once, one depth at a time,
 and the best paths grow by one byte of all units at a time.
 
@@ -35,7 +35,7 @@ from sparkloom.session import arrow_limits
 MARK = "▁"
 #: Added below the least score for a character that is no piece.
 UNKNOWN = 10.0
-MEMO = 200_000
+MEMO = 300_000
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -116,10 +116,12 @@ class Pieces:
         self.lengths = np.array([len(p.encode()) for p in pieces], np.int32)
         self.deepest = max(map(len, keys), default=0)
         texts = [pieces[i] for i in usable]
-        if any(MARK in t.lstrip(MARK) for t in texts) or any(re.search("[\x00-\x1f]", t) for t in texts):
+        joined = {c for t in texts if len(t) > 1 for c in t}
+        alone = "".join(re.escape(c) for c in map(chr, range(32)) if c not in joined)
+        if any(MARK in t.lstrip(MARK) for t in texts):
             self.unit = re.compile(r"(?s).+")
         else:
-            self.unit = re.compile(f"{MARK}*[^{MARK}\x00-\x1f]+|{MARK}+|[\x00-\x1f]")
+            self.unit = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]" if alone else ""))
         self.byte_of = {int(b): i for i, b in enumerate(byte_ids)}
         self.memo: dict[str, np.ndarray] = {}
 
@@ -240,19 +242,14 @@ class Pieces:
                     new[u] = None
         todo = [u for u in new if u]
         solved = dict(zip(todo, self._solve(todo))) if todo else {}
-        if len(memo) + len(solved) > MEMO:
-            memo.clear()
-        mark = np.array(literal, np.int32)
+        solved[""] = np.array(literal, np.int32)
         out = []
         for units in cut:
-            ids = [mark if not u else (solved[u] if u in solved else memo.get(u)) for u in units]
-            # A memo cleared meanwhile leaves gaps: those units are solved again.
-            if any(x is None for x in ids):
-                lost = list({u for u, x in zip(units, ids) if x is None})
-                solved.update(zip(lost, self._solve(lost)))
-                ids = [x if x is not None else solved[u] for u, x in zip(units, ids)]
+            ids = [solved[u] if u in solved else memo[u] for u in units]
             out.append(np.concatenate(ids) if ids else np.zeros(0, np.int32))
-        memo.update((u, x.copy()) for u, x in solved.items() if len(u) <= 64)
+        if len(memo) + len(solved) > MEMO:
+            memo.clear()
+        memo.update((u, x.copy()) for u, x in solved.items() if 0 < len(u) <= 32)
         return out
 
     def decode(self, ids: np.ndarray) -> str:
