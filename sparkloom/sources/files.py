@@ -44,13 +44,14 @@ def size_gate(path: Column, size: Column) -> Column:
 def looks_binary(content: Column) -> Column:
     """Of the first bytes: a NUL tells at once, else more than a tenth of characters that are no UTF-8. An empty file is text."""
     head = F.substring(content, 1, SNIFF)
-    text = F.decode(head, "UTF-8")
+    text = F.make_valid_utf8(head.cast("string"))
     broken = F.length(text) - F.length(F.replace(text, F.lit("�"), F.lit("")))
     return F.hex(head).rlike("^(?:..)*?00") | (broken > 0.1 * F.length(text))
 
 
 def text_of(content: Column) -> Column:
-    return F.decode(content, "UTF-8")
+    """The content as UTF-8; what is not becomes the replacement character."""
+    return F.make_valid_utf8(content.cast("string"))
 
 
 def walk_ignored(path: Column, patterns: list[str] | None = None, exact: bool = False) -> Column:
