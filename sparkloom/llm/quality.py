@@ -193,11 +193,12 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with the columns of ``docs``: the estimates are fitted on staged statistics and each row is judged in place."""
-    stats = stage(statistics(docs.select("lang", "source", "text")).drop("text"), "stats")
-    estimates = fit(stats)
-    own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"), "lang", "source", "text")
-    return judge(statistics(own).drop("text"), estimates).filter("kept").select(*(F.col("_doc")[c].alias(c) for c in docs.columns))
+    """The documents that pass, with the columns of ``docs``. Statistics are computed once and staged; the verdict comes back to the texts
+    by doc_id and a hash of what it rests on, so rows that share a doc_id are told apart."""
+    mark = F.xxhash64("lang", "source", "text")
+    stats = stage(statistics(docs.select("doc_id", "lang", "source", "text", mark.alias("_mark"))).drop("text"), "stats")
+    keep = judge(stats, fit(stats)).filter("kept").select(F.col("doc_id").alias("__keep"), "_mark").distinct()
+    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("__keep")) & (mark == F.col("_mark")), "left_semi")
 
 
 def op10_query(spark, sf_dir: str) -> DataFrame:
