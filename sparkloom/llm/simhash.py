@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.session import arrow_limits, drop, release, stage, width
@@ -54,13 +54,19 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.fromiter((fingerprint(t.as_py()) for t in batch.column("text")), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(prints.view(np.int64))], names=["doc_id", "t", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every document."""
+    """doc_id, t (a hash of the text) and fp (the 64 bits as a signed long) of every document."""
     arrow_limits(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_signed, "doc_id long, fp long")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("t"), F.col("text").cast("string").alias("text"))
+    return named.mapInArrow(_signed, "doc_id long, t long, fp long")
+
+
+def text_key() -> Column:
+    """64 bits that tell texts apart; null and empty texts are one."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def links(classes: DataFrame, bits: int = 2, crowd: int = CROWD) -> DataFrame:
@@ -117,26 +123,36 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     return now.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))
 
 
+def _rooted(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``classes`` with _root, the smallest fingerprint of the component."""
+    roots = stage(components(edges), "roots")
+    return classes.join(roots, classes["fp"] == roots["node"], "left").select(*classes.columns, F.coalesce("root", "fp").alias("_root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable over links) for every document."""
     signed = stage(fingerprints(docs), "fingerprints")
     classes = stage(signed.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    edges = links(classes.select("fp"))
-    roots = stage(components(edges), "roots")
-    placed = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("_root"))
+    placed = _rooted(classes, links(classes.select("fp")))
     names = placed.groupBy("_root").agg(F.min("first").alias("component_id"))
     named = placed.join(names, "_root").select(F.col("fp").alias("_fp"), "component_id")
     return signed.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that name their component (one of each group), with the columns of ``docs``; of rows with one doc_id one stays."""
-    own = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = stage(own.groupBy(F.col("doc_id").alias("__keep")).agg(F.count("*").alias("__rows")), "kept")
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("__keep")))
+    """One document of each component, with the columns of ``docs``: that with the smallest doc_id (null last), of several that with
+    the smallest hash of its text. Rows that share a doc_id but not a component, null ids included, do not replace each other."""
+    signed = stage(fingerprints(docs), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("first")
+    classes = stage(signed.groupBy("fp").agg(first), "classes")
+    names = _rooted(classes, links(classes.select("fp"))).groupBy("_root").agg(F.min("first").alias("first"))
+    named = names.select(F.col("first.doc_id").alias("__keep"), F.col("first.t").alias("__u"))
+    own = signed.join(named, signed["doc_id"].eqNullSafe(F.col("__keep")) & (F.col("t") == F.col("__u")))
+    keep = stage(own.groupBy("__keep", "__u").agg(F.count("*").alias("__rows")), "kept")
+    kept = docs.withColumn("__t", text_key()).join(keep, docs["doc_id"].cast("long").eqNullSafe(F.col("__keep")) & (F.col("__t") == F.col("__u")))
     once = kept.filter("__rows = 1").select(*docs.columns)
-    # Rows that share a doc_id are rare; only they are compared.
-    return once.unionByName(kept.filter("__rows > 1").select(*docs.columns).dropDuplicates(["doc_id"]))
+    # Rows that repeat doc_id and text are rare; only they are compared.
+    return once.unionByName(kept.filter("__rows > 1").dropDuplicates(["__keep", "__u"]).select(*docs.columns))
 
 
 def op9_query(spark, sf_dir: str) -> DataFrame:
