@@ -146,8 +146,8 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def text_mark(text: Column) -> Column:
-    """24 bits that tell rows of one doc_id apart; where doc_id is a key it only travels along, so it is short."""
-    return F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFF).cast("long"))
+    """64 bits that tell rows of one doc_id apart; all rows with a null doc_id share one, so they must do as a key."""
+    return F.xxhash64(text)
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
