@@ -19,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints the document with the smallest doc_id stays."""
+    """Of each component of near fingerprints and of texts with a five-word likeness of 0.8 the document with the smallest doc_id stays."""
     return simhash.first_of_each(docs)
 
 

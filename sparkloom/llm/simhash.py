@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm import likeness
 from sparkloom.session import arrow_limits, drop, release, stage, width
 
 CROWD = 64
@@ -139,13 +140,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return signed.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
+def _with_alike(docs: DataFrame, signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """``classes`` with _root over near fingerprints and alike texts. Two stars thin out crowds; all pairs of what is still apart follow."""
+    edges = stage(links(classes.select("fp")), "near")
+    placed = stage(_rooted(classes, edges), "placed")
+    texts = docs.select(text_key().alias("t"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    seeds = likeness.seeds(texts)
+    prints = stage(signed.select("t", "fp").distinct(), "prints")
+    for star in (1, 2, None):
+        rows = seeds if star is None else seeds.filter(F.col("many") > CROWD)
+        rows = rows.join(prints, "t").join(placed.select("fp", "_root"), "fp")
+        found = likeness.links(rows, texts, star)
+        if not found.isEmpty():
+            edges = stage(edges.unionByName(found), "near")
+            placed = stage(_rooted(classes, edges), "placed")
+    release(docs.sparkSession)
+    return placed
+
+
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each component, with the columns of ``docs``: that with the smallest doc_id (null last), of several that with
+    """One document of each component, with the columns of ``docs``; texts with a five-word likeness of 0.8 link beside near fingerprints. It is that with the smallest doc_id (null last), of several that with
     the smallest hash of its text. Rows that share a doc_id but not a component, null ids included, do not replace each other."""
     signed = stage(fingerprints(docs), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("first")
     classes = stage(signed.groupBy("fp").agg(first), "classes")
-    names = _rooted(classes, links(classes.select("fp"))).groupBy("_root").agg(F.min("first").alias("first"))
+    placed = _with_alike(docs, signed, classes)
+    names = placed.groupBy("_root").agg(F.min("first").alias("first"))
     named = names.select(F.col("first.doc_id").alias("__keep"), F.col("first.t").alias("__u"))
     own = signed.join(named, signed["doc_id"].eqNullSafe(F.col("__keep")) & (F.col("t") == F.col("__u")))
     keep = stage(own.groupBy("__keep", "__u").agg(F.count("*").alias("__rows")), "kept")
