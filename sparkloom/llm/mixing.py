@@ -3,18 +3,33 @@
 Every document gets a rate, the expected number of copies in the mix. Among all rates that meet the token
 constraints the balance takes those of least Kullback-Leibler distance from one copy each, weighted by size;
 they are exponentials of sums of multipliers, one multiplier for each constraint. The multipliers solve a convex
-dual by Newton steps, each a distributed aggregation. Rates then become whole copies.
+dual by Newton steps over cells (documents that share source, language and size class); gradient, curvature and the objective along a step are
+distributed sums. Rates then become whole copies, a source's missing words being filled in the order of a hash.
 
-Defined cases: a null text has size 0; a null source is a source of its own and comes last; repeated rows are
-documents of their own; an empty table gives an empty mix; columns besides those named are not read.
+Nothing is ordered in one task, however hot a source, a size or a doc_id is: running sums are taken over sorted ranges.
+
+Defined cases: a null text has size 0, one of any length is counted whole; a null source is a source of its own and comes last; a null doc_id is one like others; ties in
+the hash (rows that repeat doc_id and text) are broken by the place in the input, which changes no count of copies among them; repeated rows are documents of their
+own; an empty table gives an empty mix; constraints that cannot be met raise ``Unbalanced``; columns besides those named are not read, and their names may be any.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.session import stage
+from sparkloom.session import drop, stage, width
+
+#: Multipliers up to which the full Hessian is solved on the driver (its cells are at most this squared); beyond it each family takes its diagonal steps in turn.
+MOST_MULTIPLIERS = 512
+#: Parts of a Newton step that the line search tries at once.
+PARTS = tuple(0.5**k for k in range(12))
+
+
+class Unbalanced(RuntimeError):
+    """The targets contradict each other, or the rounds ran out."""
+
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -52,80 +67,153 @@ def weighted_targets(totals: DataFrame, weights: tuple[int, ...] = (3, 1, 2), sh
     return t.select("source", "source_size", F.when(F.col("_stopped"), F.col("_cap")).otherwise(level * F.col("_weight")).alias("target"))
 
 
-def entropy_rates(cells: DataFrame, targets: dict[str, DataFrame], tokens: str = "tokens", rounds: int = 200, within: float = 1e-12) -> DataFrame:
+def entropy_rates(cells: DataFrame, targets: dict[str, DataFrame], tokens: str = "tokens", rounds: int = 60, within: float = 1e-9) -> DataFrame:
     """Adds ``rate`` to cells of documents that share all their constraints.
 
-    ``targets`` maps a column of ``cells`` to (that column, ``target``): the tokens that the mix must take for each of
-    its values. Each round takes a Newton step for one column's multipliers after the other; for one column the
-    Hessian is diagonal, so gradient and curvature are grouped sums. The dual is convex; a step is held to [-1, 1].
-    Only the largest residual comes to the driver. The multipliers are staged each round, which cuts the lineage.
+    ``targets`` maps a column of ``cells`` to (that column, ``target``): the tokens that the mix must take for each of its values. Rates meet every target to
+    the part ``within`` of all tokens, else ``Unbalanced`` is raised.
     """
-    duals = {c: stage(t.select(c, "target", F.lit(0.0).alias("_dual")), "dual") for c, t in targets.items()}
+    count = sum(t.limit(MOST_MULTIPLIERS + 1).count() for t in targets.values())
+    if not count:
+        return cells.withColumn("rate", F.lit(1.0))
+    duals = _newton(cells, targets, tokens, rounds, within) if count <= MOST_MULTIPLIERS else _in_turn(cells, targets, tokens, 10 * rounds, within)
+    return _rated(cells, duals, [F.col("_dual")], ["rate"])
+
+
+def _rated(cells: DataFrame, duals: dict[str, DataFrame], sums: list[Column], names: list[str]) -> DataFrame:
+    """Cells with exponentials of summed multipliers; ``sums`` are what one family's table adds to each exponent."""
+    out, parts = cells, []
+    for k, (c, dual) in enumerate(duals.items()):
+        d = dual.select(F.col(c).alias(f"_key{k}"), *(x.alias(f"_part{k}_{i}") for i, x in enumerate(sums)))
+        out = out.join(d, F.col(c).eqNullSafe(F.col(f"_key{k}")), "left").drop(f"_key{k}")
+        parts.append([F.coalesce(F.col(f"_part{k}_{i}"), F.lit(0.0)) for i in range(len(sums))])
+    made = [F.exp(sum(column, F.lit(0.0))).alias(n) for n, column in zip(names, zip(*parts))]
+    return out.select(*cells.columns, *made)
+
+
+def _newton(cells: DataFrame, targets: dict[str, DataFrame], tokens: str, rounds: int, within: float) -> dict[str, DataFrame]:
+    """Full Newton steps with a line search. The dual is sum(rate * tokens) - sum(multiplier * target); its Hessian has one entry for each pair of
+    constraints that a cell shares, and is summed up where the cells are. Constraints that say the same leave it singular, so the least step is taken."""
+    spark = cells.sparkSession
+    names, keys, want = list(targets), [], []
+    for c, t in targets.items():
+        for r in t.select(F.col(c).alias("k"), F.col("target").cast("double").alias("t")).collect():
+            keys.append((c, r["k"]))
+            want.append(r["t"])
+    place, want = {k: i for i, k in enumerate(keys)}, np.array(want)
+    types = {c: t.schema[c].dataType.simpleString() for c, t in targets.items()}
+    # Cells are added up by their constraints once, so that a round reads as many rows as there are combinations.
+    small = stage(cells.groupBy(*names).agg(F.sum(F.col(tokens).cast("double")).alias("_w")).filter("_w > 0"), "cells")
+
+    def table(dual: np.ndarray, step: np.ndarray) -> dict[str, DataFrame]:
+        return {
+            c: spark.createDataFrame([(k, float(dual[i]), float(step[i])) for (f, k), i in place.items() if f == c], f"`{c}` {types[c]}, _dual double, _step double") for c in names
+        }
+
+    dual, total = np.zeros(len(keys)), max(float(np.abs(want).sum()), 1.0)
+    for _ in range(rounds):
+        rows = _rated(small, table(dual, dual), [F.col("_dual")], ["_r"]).withColumn("_m", F.col("_r") * F.col("_w"))
+        has, hessian = np.zeros(len(keys)), np.zeros((len(keys), len(keys)))
+        for r in _pair_sums(rows, names).collect():
+            i, j = place.get((names[r["f"]], r[f"a_{r['f']}"])), place.get((names[r["g"]], r[f"b_{r['g']}"]))
+            if i is not None and j is not None:
+                hessian[i, j] += r["m"]
+                hessian[j, i] = hessian[i, j]
+                if i == j:
+                    has[i] = r["m"]
+        gap = has - want
+        if np.abs(gap).max() <= within * total:
+            drop(small)
+            return table(dual, dual)
+        step = -np.linalg.lstsq(hessian, gap, rcond=1e-12)[0]
+        slope = float(gap @ step)
+        # What no step can mend lies across constraints that say the same and ask for different things.
+        if not np.isfinite(step).all() or slope >= 0 or np.abs(hessian @ step + gap).max() > 0.5 * np.abs(gap).max():
+            break
+        tried = _rated(small, table(dual, step), [F.col("_dual") + p * F.col("_step") for p in PARTS], [f"_r{i}" for i in range(len(PARTS))])
+        sums = tried.agg(*(F.sum(F.col(f"_r{i}") * F.col("_w")) for i in range(len(PARTS)))).first()
+        before = float(rows.agg(F.sum("_m")).first()[0]) - float(dual @ want)
+        fine = [p for p, value in zip(PARTS, sums) if np.isfinite(value) and value - float((dual + p * step) @ want) <= before + 1e-4 * p * slope + 1e-12 * total]
+        if not fine:
+            break
+        dual = dual + fine[0] * step
+    drop(small)
+    raise Unbalanced("no rates meet these targets; the largest miss is %g words of %g" % (np.abs(gap).max(), total))
 
-    def rated() -> DataFrame:
-        out = cells
-        for c, dual in duals.items():
-            d = dual.select(F.col(c).alias("_key"), F.col("_dual").alias(f"_dual_{c}"))
-            out = out.join(d, out[c].eqNullSafe(d["_key"]), "left").drop("_key")
-        total = sum((F.coalesce(F.col(f"_dual_{c}"), F.lit(0.0)) for c in duals), F.lit(0.0))
-        return out.withColumn("rate", F.exp(total)).drop(*(f"_dual_{c}" for c in duals))
 
+def _pair_sums(grouped: DataFrame, names: list[str]) -> DataFrame:
+    """(f, g, a_f, b_g, m): summed mass for each pair of constraints, f <= g being numbers of families."""
+    out = None
+    for f, c in enumerate(names):
+        for g, d in enumerate(names[f:], f):
+            part = grouped.groupBy(*{c: 0, d: 0}).agg(F.sum("_m").alias("m"))
+            a = [(F.col(x) if i == f else F.lit(None).cast(grouped.schema[x].dataType)).alias(f"a_{i}") for i, x in enumerate(names)]
+            b = [(F.col(x) if i == g else F.lit(None).cast(grouped.schema[x].dataType)).alias(f"b_{i}") for i, x in enumerate(names)]
+            part = part.select(F.lit(f).alias("f"), F.lit(g).alias("g"), *a, *b, "m")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _in_turn(cells: DataFrame, targets: dict[str, DataFrame], tokens: str, rounds: int, within: float) -> dict[str, DataFrame]:
+    """One family's multipliers after the other, each to its optimum given the rest; only the largest miss comes to the driver, tables are staged each round."""
+    duals = {c: stage(t.select(c, F.col("target").cast("double").alias("target"), F.lit(0.0).alias("_dual")), "dual") for c, t in targets.items()}
+    total = max(sum(float(t.agg(F.coalesce(F.sum(F.abs("target")), F.lit(0.0))).first()[0]) for t in duals.values()), 1.0)
     for _ in range(rounds):
-        residual = 0.0
+        worst = 0.0
         for c in targets:
-            sums = rated().groupBy(F.col(c).alias("_key")).agg(F.sum(F.col("rate") * F.col(tokens)).alias("_has"))
+            sums = _rated(cells, duals, [F.col("_dual")], ["_rate"]).groupBy(F.col(c).alias("_key")).agg(F.sum(F.col("_rate") * F.col(tokens)).alias("_has"))
             old = duals[c]
-            gap = F.col("_has") - F.col("target")
-            step = F.when(F.col("_has") > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), gap / F.col("_has")))).otherwise(0.0)
-            duals[c] = stage(
-                old.join(sums, old[c].eqNullSafe(sums["_key"]), "left").select(
-                    c, "target", (F.col("_dual") - F.coalesce(step, F.lit(0.0))).alias("_dual"), F.coalesce(F.abs(step), F.lit(0.0)).alias("_moved")
-                ),
-                "dual",
-            )
-            residual = max(residual, duals[c].agg(F.max("_moved")).first()[0] or 0.0)
-            duals[c] = duals[c].drop("_moved")
-        if residual <= within:
-            break
-    return rated()
+            miss = F.abs(F.coalesce("_has", F.lit(0.0)) - F.col("target"))
+            move = F.when((F.col("_has") > 0) & (F.col("target") > 0), F.log(F.col("target") / F.col("_has"))).otherwise(F.when(F.col("_has") > 0, -30.0).otherwise(0.0))
+            both = stage(old.join(sums, F.col(c).eqNullSafe(F.col("_key")), "left").select(c, "target", (F.col("_dual") + move).alias("_dual"), miss.alias("_miss")), "dual")
+            worst = max(worst, both.agg(F.max("_miss")).first()[0] or 0.0)
+            drop(old)
+            duals[c] = both
+        if worst <= within * total:
+            return duals
+    raise Unbalanced("no rates meet these targets; the largest miss is %g words of %g" % (worst, total))
+
+
+def running_sum(df: DataFrame, groups: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over a group's rows up to and including each, in ``order`` (which must tell rows apart, or ties be alike).
+
+    Rows are sorted into ranges by group and order, so a hot group fills many; what lies before a range is a sum over the ranges' totals, one row for each range and group in it.
+    """
+    spread = df.withColumn("__v", value)
+    ranges = stage(spread.repartitionByRange(width(df.sparkSession), *(F.asc_nulls_last(g) for g in groups), *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    key = F.struct(*groups)
+    totals = ranges.groupBy(key.alias("__g"), "__range").agg(F.sum("__v").alias("__t"))
+    upto = F.sum("__t").over(Window.partitionBy("__g").orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # A group that lies in one range alone (most do, where there are many) needs no offset.
+    before = totals.withColumn("__before", upto - F.col("__t")).filter("__before <> 0").select(F.col("__g").alias("__h"), F.col("__range").alias("__s"), "__before")
+    inside = F.sum("__v").over(Window.partitionBy("__range", *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    summed = ranges.withColumn("__inside", inside)
+    # At most one group crosses from a range into the next, so ``before`` has no more rows than there are ranges, times groups cut by several borders.
+    both = summed.join(F.broadcast(before), key.eqNullSafe(F.col("__h")) & (F.col("__range") == F.col("__s")), "left")
+    return both.withColumn(name, F.col("__inside") + F.coalesce("__before", F.lit(0))).drop("__v", "__range", "__h", "__s", "__before", "__inside")
 
 
-def whole_copies(docs: DataFrame, sources: DataFrame, digits: int) -> DataFrame:
+def whole_copies(docs: DataFrame, sources: DataFrame) -> DataFrame:
     """Turns rates into copies so that each source's words come near its target.
 
-    ``docs``: doc_id, source, size, key (a hash); ``sources``: source, source_size, target, rate. Every document gets the whole part
+    ``docs``: doc_id, source, size, key (a hash), mark (a hash of the text) and rid; ``sources``: source, source_size, target, rate. Every document gets the whole part
     of its source's rate. The words still missing go to documents in the order of ``key`` until the next would
-    overshoot; what then remains is filled greedily with the largest other documents that fit. The running sum is
-    taken over buckets of the key first; only the rows of a bucket in which a source crosses its target are summed
-    one by one, so a hot source is never ordered in one task.
+    overshoot; what then remains is filled greedily with the largest other documents that fit.
     """
     base = F.floor(F.col("rate") + 1e-9)
-    s = sources.select(
-        F.col("source").alias("_s"), "source_size", "target", base.alias("_base"),
-        F.greatest(F.lit(0), F.floor(F.col("target") + 0.5) - base * F.col("source_size")).cast("long").alias("_need"),
-    )
-    d = docs.withColumn("_bucket", F.substring("key", 1, digits))
-    running = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    buckets = d.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum")).withColumn("_after", F.sum("_sum").over(running))
-    b = (
-        buckets.join(s, F.col("source").eqNullSafe(F.col("_s")))
-        .withColumn("_before", F.col("_after") - F.col("_sum"))
-        .select(
-            "_s", F.col("_bucket").alias("_b"), "_before", "_base", "_need", "source_size", "target",
-            F.when(F.col("_after") <= F.col("_need"), "all").when(F.col("_before") >= F.col("_need"), "none").otherwise("some").alias("_part"),
-        )
+    s = stage(
+        sources.select(
+            F.col("source").alias("_s"), "source_size", "target", base.alias("_base"),
+            F.greatest(F.lit(0), F.floor(F.col("target") + 0.5) - base * F.col("source_size")).cast("long").alias("_need"),
+        ), "needs",
     )
-    placed = d.join(b, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    one_by_one = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    some = placed.filter("_part = 'some'").withColumn("_sum", F.col("_before") + F.sum("size").over(one_by_one))
-    some = some.withColumn("_extra", F.col("_sum") <= F.col("_need"))
-    whole = placed.filter("_part <> 'some'").withColumn("_extra", F.col("_part") == "all")
-    keep = ["doc_id", "source", "size", "key", "source_size", "target", "_base", "_extra"]
-    left = some.groupBy("source", "_need").agg(F.max(F.when(F.col("_extra"), F.col("_sum")).otherwise(F.col("_before"))).alias("_got"))
-    left = left.select(F.col("source").alias("_s"), (F.col("_need") - F.col("_got")).alias("_left"))
-    marked = stage(whole.select(*keep).unionByName(some.select(*keep)), "marked")
-    left = stage(left, "left")
+    order = [F.col("key"), F.asc_nulls_last("doc_id"), F.col("size"), F.col("mark"), F.col("rid")]
+    summed = running_sum(docs, ["source"], order, F.col("size"), "_sum")
+    marked = stage(summed.join(s, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("_extra", F.col("_sum") <= F.col("_need")), "marked")
+    left = marked.groupBy("source", "_need").agg(F.coalesce(F.max(F.when(F.col("_extra"), F.col("_sum"))), F.lit(0)).alias("_got"))
+    left = stage(left.select(F.col("source").alias("_s"), (F.col("_need") - F.col("_got")).alias("_left")), "left")
 
+    # What is left is less than the longest document, so few distinct sizes fit and no more rows are picked than that has words.
     sizes = marked.filter("not _extra and size > 0").groupBy("source", "size").agg(F.count("*").alias("_n"))
     fits = sizes.join(left, F.col("source").eqNullSafe(F.col("_s"))).filter("size <= _left")
     take = lambda acc, x: F.least(x["_n"], F.floor(acc["left"] / x["size"]))
@@ -147,40 +235,67 @@ def whole_copies(docs: DataFrame, sources: DataFrame, digits: int) -> DataFrame:
         .select("_s", F.explode(chosen["picks"]).alias("_p"))
         .select("_s", F.col("_p.size").alias("_size"), F.col("_p.take").alias("_take"))
     )
-    joined = marked.join(picks, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_size")), "left").drop("_s", "_size")
-    rank = F.row_number().over(Window.partitionBy("source", "size").orderBy("key", "doc_id"))
-    open_ = (~F.col("_extra")) & F.col("_take").isNotNull()
-    late = joined.filter(open_).withColumn("_extra", rank <= F.col("_take"))
-    out = joined.filter(~open_).unionByName(late)
-    return out.withColumn("copies", (F.col("_base") + F.col("_extra").cast("long")).cast("long")).select(
-        "doc_id", "source", "size", "source_size", "target", "copies"
-    )
+    picks = stage(picks, "picks")
+    same = F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_size"))
+    open_ = marked.filter("not _extra").join(picks, same).select("rid", "source", "size", "key", "doc_id", "mark", "_take")
+    late = running_sum(open_, ["source", "size"], order, F.lit(1), "_place").filter("_place <= _take").select(F.col("rid").alias("_late"))
+    out = marked.join(late, F.col("rid") == F.col("_late"), "left")
+    extra = (F.col("_extra") | F.col("_late").isNotNull()).cast("long")
+    return out.select("rid", "doc_id", "source", "size", "mark", "source_size", "target", (F.col("_base") + extra).cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies (0 up to ``cap``)."""
-    sized = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key")), "sized")
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
-    rows = sized.count()
+    """One row per document: doc_id, source, size, mark (a hash of the text), source_size, target, copies (0 up to ``cap``)."""
+    text = F.col("text").cast("string")
+    # Half-octaves of size and the language make the cells; both are at hand where they are columns of the input.
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    size = word_count(text)
+    sized = stage(
+        docs.select(
+            F.monotonically_increasing_id().alias("rid"), F.col("doc_id").alias("doc_id"), F.col("source").cast("string").alias("source"), lang.alias("lang"), size.alias("size"),
+            F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"), text_mark(text).alias("mark"),
+        ), "sized",
+    )
+    class_ = F.floor(2 * F.log2(F.col("size") + 1.0)).cast("int")
+    cells = stage(sized.groupBy("source", "lang", class_.alias("class")).agg(F.sum("size").alias("tokens")), "cells")
+    totals = cells.groupBy("source").agg(F.sum("tokens").alias("source_size"))
     targets = stage(weighted_targets(totals, weights, share, cap), "targets")
-    cells = targets.withColumn("tokens", F.col("source_size").cast("double"))
-    rated = entropy_rates(cells, {"source": targets.select("source", "target")})
-    digits = 3
-    while rows > 16**digits * 65536:
-        digits += 1
-    return whole_copies(sized, rated.select("source", "source_size", "target", "rate"), digits)
+    # A source without words has nothing to balance and keeps its documents once.
+    rated = entropy_rates(cells, {"source": targets.filter("source_size > 0").select("source", "target")})
+    rates = rated.groupBy(F.col("source").alias("_r")).agg(F.max("rate").alias("rate"))
+    sources = targets.join(rates, F.col("source").eqNullSafe(F.col("_r"))).drop("_r")
+    return whole_copies(sized, sources).drop("rid")
+
+
+def text_mark(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix, each as often as it has copies, with the columns of ``docs``.
 
-    Documents are told apart by doc_id and source; rows that repeat both and have the same size share their copies' count.
+    Rows that agree in doc_id, source and text are alike to the mix. Where several do, each gets an equal part of their copies and some of them, by their place, one more, so that the sum is met.
+    Such rows are numbered without their texts. Groups of more than a thousandth of all rows, of which there can be no thousand, are met by a broadcast, so that no task gets a hot one.
     """
-    m = mix(docs, **how).groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n")).agg(F.sum("copies").alias("_c"), F.count("*").alias("_rows"))
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n"))
-    copies = F.ceil(F.col("_c") / F.col("_rows")).cast("int")
-    return sized.join(m, on).filter("_c > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
+    columns = docs.columns
+    m = mix(docs, **how).groupBy(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("mark").alias("__t")).agg(F.sum("copies").alias("__c"), F.count("*").alias("__m"))
+    m = stage(m.filter("__c > 0"), "mixed")
+    rows = docs.withColumn("__u", text_mark(F.col("text").cast("string")))
+    on = rows["doc_id"].eqNullSafe(F.col("__d")) & rows["source"].cast("string").eqNullSafe(F.col("__s")) & (F.col("__u") == F.col("__t"))
+    kept = [rows[c] for c in columns]
+    single = rows.join(m.filter("__m = 1"), on).select(*kept, F.col("__c"))
+    several = m.filter("__m > 1")
+    if several.isEmpty():
+        return single.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__c").cast("int")))).select(*columns)
+    every = max(docs.count() // 1000, 1)
+    hot, rest = F.broadcast(several.filter(F.col("__m") > every)), several.filter(F.col("__m") <= every)
+    alike = rows.join(hot, on).select(*kept, "__u", "__c", "__m").unionByName(rows.join(rest, on).select(*kept, "__u", "__c", "__m"))
+    alike = stage(alike.withColumn("__rid", F.monotonically_increasing_id()), "alike")
+    group = F.xxhash64("doc_id", "source", "__u").alias("__g")
+    numbered = running_sum(alike.select("__rid", group, "__c", "__m"), ["__g"], [F.col("__rid")], F.lit(1), "__k")
+    more = numbered.select(F.col("__rid").alias("__q"), (F.floor(F.col("__c") / F.col("__m")) + (F.col("__k") <= F.col("__c") % F.col("__m")).cast("long")).alias("__n"))
+    dealt = alike.join(more, F.col("__rid") == F.col("__q")).filter("__n > 0").select(*(alike[c] for c in columns), F.col("__n").alias("__c"))
+    return single.unionByName(dealt).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__c").cast("int")))).select(*columns)
 
 
 def op5_query(spark, sf_dir: str) -> DataFrame:
