@@ -23,8 +23,6 @@ from sparkloom.session import drop, stage, width
 
 #: Multipliers up to which the full Hessian is solved on the driver (its cells are at most this squared); beyond it each family takes its diagonal steps in turn.
 MOST_MULTIPLIERS = 512
-#: Parts of a Newton step that the line search tries at once.
-PARTS = tuple(0.5**k for k in range(12))
 
 
 class Unbalanced(RuntimeError):
@@ -92,8 +90,8 @@ def _rated(cells: DataFrame, duals: dict[str, DataFrame], sums: list[Column], na
 
 
 def _newton(cells: DataFrame, targets: dict[str, DataFrame], tokens: str, rounds: int, within: float) -> dict[str, DataFrame]:
-    """Full Newton steps with a line search. The dual is sum(rate * tokens) - sum(multiplier * target); its Hessian has one entry for each pair of
-    constraints that a cell shares, and is summed up where the cells are. Constraints that say the same leave it singular, so the least step is taken."""
+    """Full Newton steps with a line search by halves. The dual is sum(rate * tokens) - sum(multiplier * target); its Hessian has one entry for each pair of
+    constraints that a cell shares, and is summed up where the cells are, in one job a step. Constraints that say the same leave it singular, so the least step is taken."""
     spark = cells.sparkSession
     names, keys, want = list(targets), [], []
     for c, t in targets.items():
@@ -101,57 +99,65 @@ def _newton(cells: DataFrame, targets: dict[str, DataFrame], tokens: str, rounds
             keys.append((c, r["k"]))
             want.append(r["t"])
     place, want = {k: i for i, k in enumerate(keys)}, np.array(want)
-    types = {c: t.schema[c].dataType.simpleString() for c, t in targets.items()}
     # Cells are added up by their constraints once, so that a round reads as many rows as there are combinations.
     small = stage(cells.groupBy(*names).agg(F.sum(F.col(tokens).cast("double")).alias("_w")).filter("_w > 0"), "cells")
 
-    def table(dual: np.ndarray, step: np.ndarray) -> dict[str, DataFrame]:
-        return {
-            c: spark.createDataFrame([(k, float(dual[i]), float(step[i])) for (f, k), i in place.items() if f == c], f"`{c}` {types[c]}, _dual double, _step double") for c in names
-        }
-
-    dual, total = np.zeros(len(keys)), max(float(np.abs(want).sum()), 1.0)
-    for _ in range(rounds):
-        rows = _rated(small, table(dual, dual), [F.col("_dual")], ["_r"]).withColumn("_m", F.col("_r") * F.col("_w"))
-        has, hessian = np.zeros(len(keys)), np.zeros((len(keys), len(keys)))
+    def table(dual: np.ndarray) -> dict[str, DataFrame]:
+        made = {}
+        for c, t in targets.items():
+            rows = [F.struct(F.lit(k).cast(t.schema[c].dataType).alias(c), F.lit(float(dual[i])).alias("_dual")) for (f, k), i in place.items() if f == c]
+            made[c] = spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows))) if rows else t.select(c, F.lit(0.0).alias("_dual"))
+        return made
+
+    def at(dual: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The dual's value, what each constraint has, and the Hessian."""
+        rows = _rated(small, table(dual), [F.col("_dual")], ["_r"]).withColumn("_m", F.col("_r") * F.col("_w"))
+        value, has, hessian = -float(dual @ want), np.zeros(len(keys)), np.zeros((len(keys), len(keys)))
         for r in _pair_sums(rows, names).collect():
+            if r["f"] < 0:
+                value += r["m"] or 0.0
+                continue
             i, j = place.get((names[r["f"]], r[f"a_{r['f']}"])), place.get((names[r["g"]], r[f"b_{r['g']}"]))
             if i is not None and j is not None:
-                hessian[i, j] += r["m"]
-                hessian[j, i] = hessian[i, j]
+                hessian[i, j] = hessian[j, i] = r["m"]
                 if i == j:
                     has[i] = r["m"]
+        return value, has, hessian
+
+    dual, total = np.zeros(len(keys)), max(float(np.abs(want).sum()), 1.0)
+    value, has, hessian = at(dual)
+    for _ in range(rounds):
         gap = has - want
         if np.abs(gap).max() <= within * total:
             drop(small)
-            return table(dual, dual)
+            return table(dual)
         step = -np.linalg.lstsq(hessian, gap, rcond=1e-12)[0]
         slope = float(gap @ step)
         # What no step can mend lies across constraints that say the same and ask for different things.
         if not np.isfinite(step).all() or slope >= 0 or np.abs(hessian @ step + gap).max() > 0.5 * np.abs(gap).max():
             break
-        tried = _rated(small, table(dual, step), [F.col("_dual") + p * F.col("_step") for p in PARTS], [f"_r{i}" for i in range(len(PARTS))])
-        sums = tried.agg(*(F.sum(F.col(f"_r{i}") * F.col("_w")) for i in range(len(PARTS)))).first()
-        before = float(rows.agg(F.sum("_m")).first()[0]) - float(dual @ want)
-        fine = [p for p, value in zip(PARTS, sums) if np.isfinite(value) and value - float((dual + p * step) @ want) <= before + 1e-4 * p * slope + 1e-12 * total]
-        if not fine:
+        part = min(1.0, 3.0 / np.abs(step).max())
+        for _ in range(40):
+            new = at(dual + part * step)
+            if np.isfinite(new[0]) and new[0] <= value + 1e-4 * part * slope + 1e-12 * total:
+                break
+            part /= 2
+        else:
             break
-        dual = dual + fine[0] * step
+        dual, (value, has, hessian) = dual + part * step, new
     drop(small)
-    raise Unbalanced("no rates meet these targets; the largest miss is %g words of %g" % (np.abs(gap).max(), total))
+    raise Unbalanced("no rates meet these targets; the largest miss is %g words of %g" % (np.abs(has - want).max(), total))
 
 
-def _pair_sums(grouped: DataFrame, names: list[str]) -> DataFrame:
-    """(f, g, a_f, b_g, m): summed mass for each pair of constraints, f <= g being numbers of families."""
-    out = None
-    for f, c in enumerate(names):
-        for g, d in enumerate(names[f:], f):
-            part = grouped.groupBy(*{c: 0, d: 0}).agg(F.sum("_m").alias("m"))
-            a = [(F.col(x) if i == f else F.lit(None).cast(grouped.schema[x].dataType)).alias(f"a_{i}") for i, x in enumerate(names)]
-            b = [(F.col(x) if i == g else F.lit(None).cast(grouped.schema[x].dataType)).alias(f"b_{i}") for i, x in enumerate(names)]
-            part = part.select(F.lit(f).alias("f"), F.lit(g).alias("g"), *a, *b, "m")
-            out = part if out is None else out.unionByName(part)
-    return out
+def _pair_sums(rows: DataFrame, names: list[str]) -> DataFrame:
+    """(f, g, a_0.., b_0.., m): summed mass for each pair of constraints, f <= g being numbers of families; f = -1 has the mass of all."""
+    kinds = [rows.schema[x].dataType for x in names]
+    out = []
+    for f, g in [(-1, -1), *((f, g) for f in range(len(names)) for g in range(f, len(names)))]:
+        pick = lambda k, p: [(F.col(x) if i == k else F.lit(None).cast(kinds[i])).alias(f"{p}_{i}") for i, x in enumerate(names)]
+        out.append(F.struct(F.lit(f).alias("f"), F.lit(g).alias("g"), *pick(f, "a"), *pick(g, "b")))
+    spread = rows.select(F.explode(F.array(*out)).alias("_c"), "_m").select("_c.*", "_m")
+    return spread.groupBy(*(c for c in spread.columns if c != "_m")).agg(F.sum("_m").alias("m"))
 
 
 def _in_turn(cells: DataFrame, targets: dict[str, DataFrame], tokens: str, rounds: int, within: float) -> dict[str, DataFrame]:
@@ -277,25 +283,24 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     Rows that agree in doc_id, source and text are alike to the mix. Where several do, each gets an equal part of their copies and some of them, by their place, one more, so that the sum is met.
     Such rows are numbered without their texts. Groups of more than a thousandth of all rows, of which there can be no thousand, are met by a broadcast, so that no task gets a hot one.
     """
-    columns = docs.columns
     m = mix(docs, **how).groupBy(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("mark").alias("__t")).agg(F.sum("copies").alias("__c"), F.count("*").alias("__m"))
     m = stage(m.filter("__c > 0"), "mixed")
-    rows = docs.withColumn("__u", text_mark(F.col("text").cast("string")))
-    on = rows["doc_id"].eqNullSafe(F.col("__d")) & rows["source"].cast("string").eqNullSafe(F.col("__s")) & (F.col("__u") == F.col("__t"))
-    kept = [rows[c] for c in columns]
-    single = rows.join(m.filter("__m = 1"), on).select(*kept, F.col("__c"))
+    # The input's columns travel in one struct, so that their names may be any.
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__id"), F.col("source").cast("string").alias("__from"), text_mark(F.col("text").cast("string")).alias("__u"))
+    on = F.col("__id").eqNullSafe(F.col("__d")) & F.col("__from").eqNullSafe(F.col("__s")) & (F.col("__u") == F.col("__t"))
+    copied = lambda df: df.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__c").cast("int")))).select("__row.*")
+    single = rows.join(m.filter("__m = 1"), on).select("__row", "__c")
     several = m.filter("__m > 1")
     if several.isEmpty():
-        return single.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__c").cast("int")))).select(*columns)
+        return copied(single)
     every = max(docs.count() // 1000, 1)
     hot, rest = F.broadcast(several.filter(F.col("__m") > every)), several.filter(F.col("__m") <= every)
-    alike = rows.join(hot, on).select(*kept, "__u", "__c", "__m").unionByName(rows.join(rest, on).select(*kept, "__u", "__c", "__m"))
-    alike = stage(alike.withColumn("__rid", F.monotonically_increasing_id()), "alike")
-    group = F.xxhash64("doc_id", "source", "__u").alias("__g")
+    alike = stage(rows.join(hot, on).unionByName(rows.join(rest, on)).withColumn("__rid", F.monotonically_increasing_id()), "alike")
+    group = F.xxhash64("__id", "__from", "__u").alias("__g")
     numbered = running_sum(alike.select("__rid", group, "__c", "__m"), ["__g"], [F.col("__rid")], F.lit(1), "__k")
     more = numbered.select(F.col("__rid").alias("__q"), (F.floor(F.col("__c") / F.col("__m")) + (F.col("__k") <= F.col("__c") % F.col("__m")).cast("long")).alias("__n"))
-    dealt = alike.join(more, F.col("__rid") == F.col("__q")).filter("__n > 0").select(*(alike[c] for c in columns), F.col("__n").alias("__c"))
-    return single.unionByName(dealt).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__c").cast("int")))).select(*columns)
+    dealt = alike.join(more, F.col("__rid") == F.col("__q")).filter("__n > 0").select("__row", F.col("__n").alias("__c"))
+    return copied(single.unionByName(dealt))
 
 
 def op5_query(spark, sf_dir: str) -> DataFrame:

@@ -195,10 +195,12 @@ def quality(docs: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents that pass, with the columns of ``docs``. Statistics are computed once and staged; the verdict comes back to the texts
     by doc_id and a hash of what it rests on, so rows that share a doc_id are told apart."""
-    mark = F.xxhash64("lang", "source", "text")
-    stats = stage(statistics(docs.select("doc_id", "lang", "source", "text", mark.alias("_mark"))).drop("text"), "stats")
-    keep = judge(stats, fit(stats)).filter("kept").select(F.col("doc_id").alias("__keep"), "_mark").distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("__keep")) & (mark == F.col("_mark")), "left_semi")
+    mark = F.xxhash64("lang", "source", "text").alias("_mark")
+    stats = stage(statistics(docs.select("doc_id", "lang", "source", "text", mark)).drop("text"), "stats")
+    keep = judge(stats, fit(stats)).filter("kept").select(F.col("doc_id").alias("__keep"), F.col("_mark").alias("__kept")).distinct()
+    # The input's columns travel in one struct, so that their names may be any.
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__id"), mark)
+    return rows.join(keep, F.col("__id").eqNullSafe(F.col("__keep")) & (F.col("_mark") == F.col("__kept")), "left_semi").select("__row.*")
 
 
 def op10_query(spark, sf_dir: str) -> DataFrame:

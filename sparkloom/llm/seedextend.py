@@ -13,7 +13,7 @@ per document and these are cut out.
 
 Words are compared by 64-bit hashes of the anchor together with 64-bit hashes of the window, 128 bits in all.
 
-Defined cases: a null text has no words; rows with equal doc_id are ordered by the hash of their text, and rows that repeat both
+Defined cases: a null text has no words; a text of any length is read whole, one too long for a batch alone in its own; rows with equal doc_id are ordered by the hash of their text, and rows that repeat both
 are one document, listed as often as given; a null doc_id comes last; an empty table stays empty; other columns pass through unread.
 """
 
@@ -104,40 +104,39 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _cutter(columns: list[str]):
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, spans = batch.column("text"), batch.column("__spans")
-            out_text, n_words, n_removed, digests = [], [], [], []
-            for k in range(batch.num_rows):
-                text = texts[k].as_py()
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                words = raw.split()
-                marks = spans[k].values if spans[k].is_valid else None
-                removed = np.zeros(len(words), bool)
-                if marks is not None and len(marks):
-                    start, mask = marks.field(0).to_numpy().astype(np.int64), marks.field(1).to_numpy()
-                    step = np.zeros(len(words) + 1, np.int64)
-                    for i in range(REACH):
-                        low = start[(mask >> i) & 1 == 1] + i
-                        np.add.at(step, low, 1)
-                        np.add.at(step, low + WINDOW, -1)
-                    removed = np.cumsum(step)[:-1] > 0
-                gone = int(removed.sum())
-                if gone:
-                    places = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-                    bounds = np.flatnonzero(np.diff(np.concatenate(([False], ~removed, [False])).astype(np.int8)))
-                    runs = [raw[places.start[x] : places.end[y - 1]] for x, y in zip(bounds[::2], bounds[1::2])]
-                    text = b"\n".join(runs).decode("utf-8", "surrogatepass")
-                    words = [w for w, r in zip(words, removed) if not r]
-                out_text.append(text)
-                n_words.append(len(removed))
-                n_removed.append(gone)
-                digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
-            made = {"text": pa.array(out_text, pa.string()), "__n_words": pa.array(n_words, pa.int64()), "__n_removed": pa.array(n_removed, pa.int64()), "__sha": pa.array(digests, pa.string())}
-            yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in columns], names=columns)
-
-    return cut
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Puts the text without its repeats into the struct of a row's columns."""
+    for batch in batches:
+        row, texts, spans = batch.column("__row"), batch.column("__text"), batch.column("__spans")
+        out_text, n_words, n_removed, digests = [], [], [], []
+        for k in range(batch.num_rows):
+            text = texts[k].as_py()
+            raw = (text or "").encode("utf-8", "surrogatepass")
+            words = raw.split()
+            marks = spans[k].values if spans[k].is_valid else None
+            removed = np.zeros(len(words), bool)
+            if marks is not None and len(marks):
+                start, mask = marks.field(0).to_numpy().astype(np.int64), marks.field(1).to_numpy()
+                step = np.zeros(len(words) + 1, np.int64)
+                for i in range(REACH):
+                    low = start[(mask >> i) & 1 == 1] + i
+                    np.add.at(step, low, 1)
+                    np.add.at(step, low + WINDOW, -1)
+                removed = np.cumsum(step)[:-1] > 0
+            gone = int(removed.sum())
+            if gone:
+                places = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                bounds = np.flatnonzero(np.diff(np.concatenate(([False], ~removed, [False])).astype(np.int8)))
+                runs = [raw[places.start[x] : places.end[y - 1]] for x, y in zip(bounds[::2], bounds[1::2])]
+                text = b"\n".join(runs).decode("utf-8", "surrogatepass")
+                words = [w for w, r in zip(words, removed) if not r]
+            out_text.append(text)
+            n_words.append(len(removed))
+            n_removed.append(gone)
+            digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
+        fields = [pa.array(out_text, pa.string()) if f.name == "text" else column for f, column in zip(row.type, row.flatten())]
+        made = pa.StructArray.from_arrays(fields, names=[f.name for f in row.type])
+        yield pa.RecordBatch.from_arrays([made, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())], names=["__row", "__n_words", "__n_removed", "__sha"])
 
 
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
@@ -184,15 +183,18 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated stretches cut out of ``text`` (runs that stay are joined by a line end), and __n_words, __n_removed
-    and __sha (SHA-256 of the kept words joined by one space). A text without repeats stays as it is."""
+    and __sha (SHA-256 of the kept words joined by one space; columns of these three names give way). A text without repeats stays as it is."""
     marks = repeated_windows(docs)
     spans = marks.groupBy(F.col("doc").alias("__d"), F.col("t").alias("__u")).agg(F.collect_list(F.struct("start", "mask")).alias("__spans"))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    t = text_mark(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    joined = docs.withColumn("__doc", key).withColumn("__t", t).join(spans, (F.col("__doc") == F.col("__d")) & (F.col("__t") == F.col("__u")), "left")
-    columns = [*docs.columns, "__n_words", "__n_removed", "__sha"]
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", __n_words long, __n_removed long, __sha string"
-    return joined.select(*docs.columns, "__spans").mapInArrow(_cutter(columns), out)
+    text = F.col("text").cast("string")
+    columns = [c for c in docs.columns if c not in ("__n_words", "__n_removed", "__sha")]
+    # The input's columns travel in one struct, so that their names may be any.
+    rows = docs.select(F.struct(*(text.alias(c) if c == "text" else F.col(c) for c in columns)).alias("__row"), key.alias("__doc"), text_mark(F.coalesce(text, F.lit(""))).alias("__t"))
+    joined = rows.join(spans, (F.col("__doc") == F.col("__d")) & (F.col("__t") == F.col("__u")), "left")
+    out = f"__row {joined.schema['__row'].dataType.simpleString()}, __n_words long, __n_removed long, __sha string"
+    cut = joined.select("__row", F.col("__row.text").alias("__text"), "__spans").mapInArrow(_cut, out)
+    return cut.select("__row.*", "__n_words", "__n_removed", "__sha")
 
 
 def op7_query(spark, sf_dir: str) -> DataFrame:

@@ -9,9 +9,9 @@ in a larger crowd are not paired there; each is instead indexed under all its va
 fingerprints share such a variant and all of these link, so a star suffices and every link of the crowd is found.
 Components come from alternating star contractions over staged edge tables, never on the driver.
 
-Defined cases: a null text has no words; no words give fingerprint zero, which links like any other; one or two words form one
+Defined cases: a null text has no words; a text of any length is hashed whole, in parts; no words give fingerprint zero, which links like any other; one or two words form one
 shingle; repeated rows are listed as often; an empty table stays empty; a null doc_id never names a component unless all its members'
-are null; columns besides those named are not read.
+are null; of equal candidates for a component's name the smaller id wins, so the order of rows does not matter; columns besides those named are not read, and their names may be any.
 """
 
 from __future__ import annotations
@@ -147,7 +147,8 @@ def _with_alike(docs: DataFrame, signed: DataFrame, classes: DataFrame) -> DataF
     texts = docs.select(text_key().alias("t"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     seeds = likeness.seeds(texts)
     prints = stage(signed.select("t", "fp").distinct(), "prints")
-    for star in (1, 2, None):
+    crowded = not seeds.filter(F.col("many") > CROWD).isEmpty()
+    for star in (1, 2, None) if crowded else (None,):
         rows = seeds if star is None else seeds.filter(F.col("many") > CROWD)
         rows = rows.join(prints, "t").join(placed.select("fp", "_root"), "fp")
         found = likeness.links(rows, texts, star)
@@ -169,10 +170,12 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     named = names.select(F.col("first.doc_id").alias("__keep"), F.col("first.t").alias("__u"))
     own = signed.join(named, signed["doc_id"].eqNullSafe(F.col("__keep")) & (F.col("t") == F.col("__u")))
     keep = stage(own.groupBy("__keep", "__u").agg(F.count("*").alias("__rows")), "kept")
-    kept = docs.withColumn("__t", text_key()).join(keep, docs["doc_id"].cast("long").eqNullSafe(F.col("__keep")) & (F.col("__t") == F.col("__u")))
-    once = kept.filter("__rows = 1").select(*docs.columns)
+    # The input's columns travel in one struct, so that their names may be any.
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").cast("long").alias("__id"), text_key().alias("__t"))
+    kept = rows.join(keep, F.col("__id").eqNullSafe(F.col("__keep")) & (F.col("__t") == F.col("__u")))
+    once = kept.filter("__rows = 1").select("__row.*")
     # Rows that repeat doc_id and text are rare; only they are compared.
-    return once.unionByName(kept.filter("__rows > 1").dropDuplicates(["__keep", "__u"]).select(*docs.columns))
+    return once.unionByName(kept.filter("__rows > 1").dropDuplicates(["__keep", "__u"]).select("__row.*"))
 
 
 def op9_query(spark, sf_dir: str) -> DataFrame:
