@@ -6,11 +6,9 @@ the modification time already tells that nothing changed and the file was not re
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.session import shared_dir
-
 ACTIONS = ("new", "changed", "touched", "unchanged", "deleted")
 
 
@@ -40,8 +38,10 @@ def reuse_chunks(chunks: DataFrame, chunk_manifest: DataFrame, stored: DataFrame
 
 
 def upsert(stored: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """Rows of ``new`` in place of those with the same key; the last of equal keys in ``new`` is arbitrary, one stays."""
-    return stored.join(new.select(key).distinct(), key, "left_anti").unionByName(new.dropDuplicates([key]), allowMissingColumns=True)
+    """Rows of ``new`` in place of those with the same key; of equal keys in ``new`` the row with the greatest values stays, column by column in order."""
+    rest = [c for c in new.columns if c != key]
+    once = new.groupBy(key).agg(F.max(F.struct(*rest)).alias("_row")).select(key, "_row.*")
+    return stored.join(new.select(key).distinct(), key, "left_anti").unionByName(once, allowMissingColumns=True)
 
 
 def replace_sources(stored: DataFrame, sources: DataFrame, new: DataFrame, keep_if_empty: bool = False) -> DataFrame:
@@ -97,19 +97,11 @@ def run_counters(diff: DataFrame, verdict: DataFrame | None = None) -> DataFrame
     return out.join(verdict.agg(F.coalesce(F.sum(F.col("chunks") - F.col("embedded")), F.lit(0)).alias("embed_failed")))
 
 
-def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The newest row of each key."""
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_k = 1").drop("_k")
-
-
-def commit(spark, target: str, chunks: DataFrame, manifest: DataFrame) -> None:
-    """Chunks are written before the manifest that covers them, each to a new folder; a run that dies between has its files done again."""
-    chunks.write.mode("overwrite").parquet(f"{target}/chunks")
-    manifest.write.mode("overwrite").parquet(f"{target}/manifest")
-
-
-def default_store(spark) -> str:
-    return f"{shared_dir(spark)}/store"
+def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """The newest row of each key: the one with the greatest ``order``, a partial aggregate, so a hot key is not sorted in one task."""
+    rest = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    return best.select(*keys, "_row.*").select(*df.columns)
 
 
 def import_manifest(entries: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -130,12 +130,18 @@ def walk_ignored(spark, d):
     return _paths(spark, d).select("path", S.walk_ignored(F.col("path")).alias("ignored"))
 
 
-@query("path_functions", f"""WITH {B.DOCS}, p AS (SELECT {_PATHS} AS path FROM docs)
-SELECT path, string_split(path, '/')[-1] AS base, regexp_extract(string_split(path, '/')[-1], '^.+(\\.[^.]*)$', 1) AS ext, string_split(path, '/')[1] AS module,
-CASE WHEN path LIKE '%.ts' THEN 'typescript' END AS language, false AS test FROM p""")
+_KINDS = "CASE WHEN doc_id % 11 = 0 THEN module || '/tests/f' || doc_id || '.py' WHEN doc_id % 11 = 1 THEN module || '/f' || doc_id || '.spec.go' WHEN doc_id % 11 = 2 THEN 'latest/f' || doc_id || '.PDF' WHEN doc_id % 11 = 3 THEN 'f' || doc_id || '_test.rs' WHEN doc_id % 11 = 4 THEN module || '/.hidden' ELSE path END"
+
+
+@query("path_functions", f"""WITH {B.DOCS}, p AS (SELECT {_KINDS} AS path FROM docs), q AS (SELECT path, string_split(path, '/')[-1] AS base, string_split(path, '/')[:-2] AS dirs FROM p)
+SELECT path, base, regexp_extract(base, '^.+(\\.[^.]*)$', 1) AS ext, CASE WHEN contains(path, '/') THEN string_split(path, '/')[1] ELSE 'root' END AS module,
+CASE regexp_extract(base, '^.+(\\.[^.]*)$', 1) WHEN '.py' THEN 'python' WHEN '.go' THEN 'go' WHEN '.rs' THEN 'rust' END AS language,
+len(list_intersect(dirs, ['test', 'tests', '__tests__', 'spec', 'specs'])) > 0 OR regexp_matches(base, '\\.test\\.|\\.spec\\.|_test\\.|_spec\\.') AS test,
+lower(regexp_extract(base, '^.+(\\.[^.]*)$', 1)) IN ('.pdf', '.docx', '.xlsx') AS document FROM q""")
 def path_functions(spark, d):
     p = F.col("path")
-    return _paths(spark, d).select("path", X.basename(p).alias("base"), X.extension(p).alias("ext"), X.module_of(p).alias("module"), X.language_of(p).alias("language"), X.is_test_path(p).alias("test"))
+    paths = B.documents(spark, d).select(F.expr(_KINDS).alias("path"))
+    return paths.select("path", X.basename(p).alias("base"), X.extension(p).alias("ext"), X.module_of(p).alias("module"), X.language_of(p).alias("language"), X.is_test_path(p).alias("test"), X.is_document(p).alias("document"))
 
 
 @query("kind_coercion", f"SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN 'class' WHEN p_size % 3 = 1 THEN 'unknown' END AS kind FROM part")
@@ -227,10 +233,23 @@ def wave_split(spark, d):
     return watch.waves(e, 200).groupBy("wave").agg(F.count("*").alias("files"))
 
 
-@query("symbols_and_calls")
+_CODE = {
+    0: (".py", "'def f' || doc_id || '(x):\n    return g' || (doc_id % 7) || '(x)\n'"),
+    1: (".ts", "'export async function f' || doc_id || '(x: number) {\n  return g' || (doc_id % 7) || '(x);\n}\n'"),
+    2: (".go", "'package p\n\nfunc f' || doc_id || '(x int) int {\n\treturn g' || (doc_id % 7) || '(x)\n}\n'"),
+    3: (".java", "'class K { int f' || doc_id || '(int x) { return g' || (doc_id % 7) || '(x); } }\n'"),
+}
+
+
+@query("symbols_and_calls", """WITH s AS (SELECT 'm/' || doc_id || ['.py', '.ts', '.go', '.java'][doc_id % 4 + 1] AS path, 'f' || doc_id AS name, CASE WHEN doc_id % 4 = 3 THEN 'method' ELSE 'function' END AS kind,
+  [1, 1, 3, 1][doc_id % 4 + 1]::INT AS start_line, [2, 3, 5, 1][doc_id % 4 + 1]::INT AS end_line, 'g' || (doc_id % 7) AS calls FROM documents)
+SELECT * FROM s UNION ALL SELECT 'm/' || doc_id || '.java', 'K', 'class', 1, 1, '' FROM documents WHERE doc_id % 4 = 3""")
 def symbols_and_calls(spark, d):
-    code = F.concat(F.lit("def f"), F.col("doc_id"), F.lit("(x):\n    return g"), F.col("doc_id") % 7, F.lit("(x)\n"))
-    return chunking.symbols_and_calls(B.documents(spark, d).select(F.concat(F.lit("m/"), "doc_id", F.lit(".py")).alias("path"), code.alias("content")))
+    k = F.col("doc_id") % 4
+    pick = lambda i: F.coalesce(*(F.when(k == n, F.expr(v[1].replace("\n", "\\n").replace("\t", "\\t")) if i else F.lit(v[0])) for n, v in _CODE.items()))
+    files = B.documents(spark, d).select(F.concat(F.lit("m/"), "doc_id", pick(0)).alias("path"), pick(1).alias("content"))
+    found = chunking.symbols_and_calls(files)
+    return found.select("path", "name", "kind", "start_line", "end_line", F.array_join(F.transform("edges", lambda e: e["dst_name"]), ",").alias("calls"))
 
 
 @query("page_prose", r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages""")

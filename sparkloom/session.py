@@ -1,8 +1,8 @@
 """Sessions, and the shared folder in which long jobs cut their lineage.
 
 Staged tables live in the folder that the cluster names in ``spark.checkpoint.dir``; executors can be lost
-at any time, and a staged table is read again instead of being computed again. Only where that setting is
-absent (tests, a laptop) a folder of our own is made.
+at any time, and a staged table is read again instead of being computed again. Only on a local master may that setting be
+absent (tests, a laptop); then a folder of our own is made. A staged table goes when it is dropped, or when the session ends.
 """
 
 from __future__ import annotations
@@ -33,10 +33,12 @@ def local_session(cpus: str | int = "*", partitions: int = 8, app: str = "sparkl
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and all executors are threads of this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
@@ -88,6 +90,10 @@ def width(spark: SparkSession) -> int:
 
 
 def arrow_limits(spark: SparkSession, records: int = 2000, size: str = "4m") -> None:
-    """Bounds an Arrow batch by rows and bytes, so that very long texts do not meet in one batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    """Bounds an Arrow batch by rows and bytes, so that very long texts do not meet in one batch. Bounds are only ever lowered: plans run later than they are made, and none may run with more than it asked for."""
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    number = lambda x: int(x[:-1]) * unit[x[-1]] if x[-1:] in unit else int(x)
+    for name, value in (("maxRecordsPerBatch", str(records)), ("maxBytesPerBatch", size)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}", "0").lower().removesuffix("b")
+        if not 0 < number(now or "0") <= number(value):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", value)
