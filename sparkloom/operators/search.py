@@ -1,18 +1,26 @@
 """Retrieval over chunks: exact vectors, BM25, rank fusion, diversity, token budget, and the searches composed of them.
 
-A query is a row, so a job answers any number of queries. Chunks are never joined with all queries in the lexical leg: queries'
-terms meet postings in an equality join, and postings of terms that no query has are dropped before the shuffle. The
-vector leg is a scan of all vectors against a set of queries whose number is checked, with a top-k per query that
-each task takes before the shuffle (a rank filter on a window, which Spark pushes below the exchange).
+A query is a row, so a job answers any number of queries. The lexical leg reads all chunks against a block of queries whose size is checked: in each Arrow batch the
+weights of the queries' terms are multiplied with the queries, and a task gives no more than the best k hits of each query, so no hit is shuffled that cannot be among them.
+A larger set, or a stored index, goes by postings: queries' terms meet them in an equality join. The vector leg is a scan of all vectors against a checked number of queries at a time, with a top-k
+per query that each task takes before the shuffle; an inverted file of cells, fitted on a bounded sample, saves most of that scan where less than all of the nearest will do.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
+from sparkloom.operators.ordering import global_position
+from sparkloom.session import stage
 
 K1, B = 1.2, 0.75
 FUSION = 60
@@ -20,6 +28,8 @@ SCORE_THRESHOLD, MMR_LAMBDA = 0.2, 0.6
 TOKEN_BUDGET, SNIPPET_LINES = 1200, 5
 #: Most queries whose vectors are broadcast in one job (times the dimension, some tens of MB).
 MOST_QUERIES = 50_000
+#: Most queries, and most of their terms, that meet all chunks as one block; a block of ``ROWS`` chunks then takes some tens of MB.
+BLOCK_QUERIES, BLOCK_TERMS, ROWS = 2048, 32768, 128
 
 
 def search_limit(limit: int) -> int:
@@ -43,15 +53,70 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 def vector_search(chunks: DataFrame, queries: DataFrame, k: int, vector: str = "vector") -> DataFrame:
     """query_id, id, distance, score, rank of the ``k`` nearest chunks of each query (``query_id``, ``query_vector``). Exact."""
-    count = queries.limit(MOST_QUERIES + 1).count()
     q = queries.select("query_id", "query_vector")
-    if count <= MOST_QUERIES:
-        q = F.broadcast(q)
-    pairs = chunks.select("id", vector).join(q)  # the stated query set against all rows
-    near = pairs.withColumn("distance", squared_distance(F.col(vector), F.col("query_vector"))).select("query_id", "id", "distance")
+    if q.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES:
+        return _nearest(chunks, q, k, vector)
+    # More queries than may be broadcast come in slices, each against all rows.
+    placed = stage(global_position(q, [F.col("query_id")], "_at", "_all").withColumn("_slice", F.floor(F.col("_at") / MOST_QUERIES)).drop("_at", "_all"), "slices")
+    parts = [_nearest(chunks, placed.filter(F.col("_slice") == i).drop("_slice"), k, vector) for i in range(placed.agg(F.max("_slice")).first()[0] + 1)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _nearest(chunks: DataFrame, queries: DataFrame, k: int, vector: str) -> DataFrame:
+    pairs = chunks.select("id", vector).join(F.broadcast(queries))  # the stated query set against all rows
+    near = pairs.withColumn("distance", squared_distance(F.col(vector), F.col("query_vector"))).select("query_id", "id", "distance").filter("distance is not null")
     return top(near, k, F.col("distance"), F.col("id")).withColumn("score", X.closeness(F.col("distance")))
 
 
+def fit_cells(chunks: DataFrame, cells: int = 128, sample: int = 20_000, rounds: int = 12, vector: str = "vector") -> np.ndarray:
+    """Centres of an inverted file, by k-means on the ``sample`` vectors with the least hash of their id (a documented bound; every row is indexed afterwards)."""
+    rows = chunks.filter(F.col(vector).isNotNull()).select("id", vector).orderBy(F.xxhash64("id")).limit(sample).collect()
+    x = np.array([r[vector] for r in rows], np.float32)
+    if not len(x):
+        return np.zeros((0, 0), np.float32)
+    centres = x[np.linspace(0, len(x) - 1, min(cells, len(x))).astype(int)].copy()
+    for _ in range(rounds):
+        own = cell_of(x, centres, 1)[:, 0]
+        for c in range(len(centres)):
+            if (own == c).any():
+                centres[c] = x[own == c].mean(axis=0)
+    return centres
+
+
+def cell_of(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` nearest centres of each row, nearest first."""
+    far = (centres * centres).sum(axis=1)[None, :] - 2 * x @ centres.T
+    return np.argsort(far, axis=1, kind="stable")[:, :n]
+
+
+def index_cells(chunks: DataFrame, centres: np.ndarray, vector: str = "vector") -> DataFrame:
+    """``chunks`` with ``cell``, for every row that has a vector; to be stored by cell."""
+    shared = chunks.sparkSession.sparkContext.broadcast(centres)
+
+    @F.pandas_udf("int")
+    def cell(v: pd.Series) -> pd.Series:
+        return pd.Series(cell_of(np.stack(v.to_numpy()).astype(np.float32), shared.value, 1)[:, 0]) if len(v) else pd.Series([], dtype="int32")
+
+    return chunks.filter(F.col(vector).isNotNull()).withColumn("cell", cell(vector))
+
+
+def cell_search(indexed: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, probes: int = 64, vector: str = "vector") -> DataFrame:
+    """As ``vector_search``, over the ``probes`` nearest cells of each query only; distances are exact. A hot cell is not shuffled, for the queries go to the rows."""
+    rows = queries.select("query_id", "query_vector").limit(MOST_QUERIES + 1).collect()
+    if len(rows) > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries: ask in slices")
+    near = cell_of(np.array([r["query_vector"] for r in rows], np.float32), centres, probes) if rows and len(centres) else np.zeros((0, 0), int)
+    pairs = [(r["query_id"], int(c)) for r, own in zip(rows, near) for c in own]
+    kind = queries.schema["query_id"].dataType.simpleString()
+    probed = queries.sparkSession.createDataFrame(pairs, f"query_id {kind}, cell int").join(queries.select("query_id", "query_vector"), "query_id")
+    met = indexed.select("id", "cell", vector).join(F.broadcast(probed), "cell")
+    found = met.withColumn("distance", squared_distance(F.col(vector), F.col("query_vector"))).select("query_id", "id", "distance")
+    return top(found, k, F.col("distance"), F.col("id")).withColumn("score", X.closeness(F.col("distance")))
+
+
 def postings(chunks: DataFrame, text: str = "content") -> DataFrame:
     """id, term, tf, length: one row for each distinct term of a chunk."""
     words = chunks.select("id", X.all_tokens(F.col(text)).alias("_w")).withColumn("length", F.size("_w"))
@@ -67,17 +132,117 @@ def term_statistics(chunks: DataFrame, text: str = "content") -> tuple[DataFrame
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, k: int, text: str = "content") -> DataFrame:
-    """query_id, id, score, rank of the ``k`` best chunks for each query (``query_id``, ``query``); any term may match."""
-    terms = queries.select("query_id", F.explode(X.tokens(F.col("query"))).alias("term"))
-    wanted = terms.select("term").distinct()
-    words = chunks.select("id", X.all_tokens(F.col(text)).alias("_w"))
-    corpus = words.agg(F.count("*").alias("_n"), F.avg(F.size("_w")).alias("_mean"))
-    # Terms are counted inside the row, so that a long chunk leaves as one row for each distinct term that a query has.
-    each = words.select("id", F.size("_w").alias("_len"), F.explode("_w").alias("term")).join(wanted, "term", "left_semi")
-    tf = each.groupBy("id", "term", "_len").agg(F.count("*").alias("_tf"))
+    """query_id, id, score, rank of the ``k`` best chunks for each query (``query_id``, ``query``); any term may match. A null text has no words."""
+    asked = queries.select("query_id", X.tokens(F.coalesce("query", F.lit(""))).alias("_t")).limit(BLOCK_QUERIES + 1).collect()
+    vocabulary = {t: i for i, t in enumerate(sorted({t for r in asked for t in r["_t"]}))}
+    if len(asked) > BLOCK_QUERIES or len(vocabulary) > BLOCK_TERMS:
+        return bm25_of_postings(postings(chunks, text), chunks.agg(F.count("*").alias("n"), F.avg(F.size(X.all_tokens(F.coalesce(text, F.lit(""))))).alias("mean_length")), queries, k)
+    return _bm25_in_blocks(chunks, queries, asked, vocabulary, k, text)
+
+
+_WORDS = re.compile("[a-z0-9_]+")
+
+
+def _bm25_in_blocks(chunks: DataFrame, queries: DataFrame, asked: list, vocabulary: dict[str, int], k: int, text: str) -> DataFrame:
+    spark = chunks.sparkSession
+    named = chunks.select("id", F.lower(F.coalesce(text, F.lit(""))).alias("_text"))
+    words = spark.sparkContext.broadcast(vocabulary)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many chunks of a task have each word; under -1 and -2 the chunks and all their words."""
+        known, have, n, length = words.value, Counter(), 0, 0
+        for batch in batches:
+            for t in batch.column("_text").to_pylist():
+                found = _WORDS.findall(t)
+                n, length = n + 1, length + len(found)
+                have.update(known[w] for w in set(found) if w in known)
+        have.update({-1: n, -2: length})
+        yield pa.RecordBatch.from_arrays([pa.array(list(have.keys()), pa.int32()), pa.array(list(have.values()), pa.int64())], names=["term", "n"])
+
+    counted = {r["term"]: r["n"] for r in named.select("_text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    n = counted.get(-1, 0)
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {chunks.schema['id'].dataType.simpleString()}, score double"
+    if not n or not vocabulary:
+        return top(spark.createDataFrame([], schema), k, F.col("score"))
+    df = np.array([counted.get(i, 0) for i in range(len(vocabulary))], float)
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    mean = counted.get(-2, 0) / n
+    cells = [(vocabulary[t], j) for j, r in enumerate(asked) for t in r["_t"]]
+    shared = spark.sparkContext.broadcast((vocabulary, idf, mean, np.array(cells, np.int32).reshape(-1, 2), [r["query_id"] for r in asked]))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, weight, average, pairs, names = shared.value
+        matrix = np.zeros((len(known), len(names)))
+        matrix[pairs[:, 0], pairs[:, 1]] = weight[pairs[:, 0]]
+        best = Best(len(names), k)
+        for batch in batches:
+            ids, texts = batch.column("id").to_pylist(), batch.column("_text").to_pylist()
+            for a in range(0, len(ids), ROWS):
+                part = texts[a : a + ROWS]
+                tf = np.zeros((len(part), len(known)))
+                length = np.zeros(len(part))
+                for i, t in enumerate(part):
+                    found = _WORDS.findall(t)
+                    length[i] = len(found)
+                    for w, m in Counter(found).items():
+                        if (at := known.get(w)) is not None:
+                            tf[i, at] = m
+                has = np.flatnonzero(tf.any(axis=0))
+                tf = tf[:, has]
+                tf = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[:, None] / average)) if average else tf
+                best.add(tf @ matrix[has], ids[a : a + ROWS])
+        q, i, s = best.rows()
+        yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in q], types[0]), pa.array(i, types[1]), pa.array(s, pa.float64())], names=["query_id", "id", "score"])
+
+    types = [pa.string() if f == "string" else pa.int64() if f == "bigint" else pa.int32() for f in (schema.split()[1].rstrip(","), schema.split()[3].rstrip(","))]
+    hits = named.mapInArrow(score, schema)
+    return top(hits, k, F.round("score", 9).desc(), F.col("id"))
+
+
+class Best:
+    """The best ``k`` rows of each query among blocks of scores: by score to nine digits, then by id. Rows without a score are no hits."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.queries = k, queries
+        self.q, self.s, self.i = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
+        self.least = np.zeros(queries)
+
+    def add(self, scores: np.ndarray, ids: list) -> None:
+        rounded = np.round(scores, 9)
+        if len(ids) > self.k:
+            self.least = np.maximum(self.least, np.partition(rounded, len(ids) - self.k, axis=0)[len(ids) - self.k])
+        row, q = np.nonzero((scores > 0) & (rounded >= self.least[None, :]))
+        if not len(row):
+            return
+        self.q, self.s, self.i = np.concatenate((self.q, q)), np.concatenate((self.s, scores[row, q])), np.concatenate((self.i, np.array(ids, object)[row]))
+        if len(self.q) > 4 * self.k * self.queries:
+            self._cut()
+
+    def _cut(self) -> None:
+        rounded = np.round(self.s, 9)
+        place = np.empty(len(self.i), np.int64)
+        place[np.argsort(self.i, kind="stable")] = np.arange(len(self.i))
+        order = np.lexsort((place, -rounded, self.q))
+        q = self.q[order]
+        first = np.searchsorted(q, np.arange(self.queries))
+        rank = np.arange(len(q)) - first[q]
+        full = np.flatnonzero(rank == self.k - 1)
+        self.least[q[full]] = np.maximum(self.least[q[full]], rounded[order][full])
+        keep = order[rank < self.k]
+        self.q, self.s, self.i = self.q[keep], self.s[keep], self.i[keep]
+
+    def rows(self) -> tuple[list, list, list]:
+        self._cut()
+        return self.q.tolist(), self.i.tolist(), self.s.tolist()
+
+
+def bm25_of_postings(index: DataFrame, corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """As ``bm25``, from postings (id, term, tf, length) and one row with n and mean_length. Stored in the order of terms, few of an index's row groups are read for a query."""
+    terms = queries.select("query_id", F.explode(X.tokens(F.coalesce("query", F.lit("")))).alias("term"))
+    tf = index.join(terms.select("term").distinct(), "term", "left_semi")
     df = tf.groupBy("term").agg(F.count("*").alias("_df"))
-    idf = F.log(F.lit(1.0) + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    weight = idf * F.col("_tf") * (K1 + 1) / (F.col("_tf") + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("_len") / F.col("_mean")))
+    idf = F.log(F.lit(1.0) + (F.col("n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("length") / F.col("mean_length")))
     scored = tf.join(df, "term").join(F.broadcast(corpus)).select("id", "term", weight.alias("_s"))
     hits = scored.join(terms, "term").groupBy("query_id", "id").agg(F.sum("_s").alias("score"))
     return top(hits, k, F.round("score", 9).desc(), F.col("id"))
@@ -105,7 +270,7 @@ def above(df: DataFrame, least: float = SCORE_THRESHOLD) -> DataFrame:
 def diversify(pool: DataFrame, k: int, weight: float = MMR_LAMBDA) -> DataFrame:
     """Greedy maximal marginal relevance: of each query's ``pool`` (query_id, id, score, rank, content) picks ``k``.
 
-    A pool is bounded by the fan-out, so a group in Pandas is small. Ties go to the better input rank.
+    A pool is bounded by the fan-out, so a group in Pandas is small. Ties (to nine digits) go to the better input rank.
     """
     schema = "query_id long, id string, score double, content string, pick int"
 
@@ -115,7 +280,7 @@ def diversify(pool: DataFrame, k: int, weight: float = MMR_LAMBDA) -> DataFrame:
         scores, like = pdf["score"].tolist(), [0.0] * len(pdf)
         left, order = list(range(len(pdf))), []
         while left and len(order) < k:
-            best = max(left, key=lambda i: (weight * scores[i] - (1 - weight) * like[i], -i))
+            best = max(left, key=lambda i: (round(weight * scores[i] - (1 - weight) * like[i], 9), -i))
             left.remove(best)
             order.append(best)
             for i in left:
@@ -152,10 +317,13 @@ def fill_budget(picked: DataFrame, budget: int = TOKEN_BUDGET, lines: int = SNIP
     return grouped.select("query_id", F.explode(kept).alias("_x")).select("query_id", "_x.*")
 
 
-def _finish(hits: DataFrame, chunks: DataFrame, limit: int, module: str | None, weight: float, budget: int, lines: int) -> DataFrame:
+def of_module(chunks: DataFrame, module: str | None) -> DataFrame:
+    """The chunks to search, before any top-k is taken of them."""
+    return chunks if module is None else chunks.filter(F.col("module") == module)
+
+
+def _finish(hits: DataFrame, chunks: DataFrame, limit: int, weight: float, budget: int, lines: int) -> DataFrame:
     cards = chunks.select("id", "content", "source", "module", "symbol_name", "signature", "start_line", "end_line")
-    if module is not None:
-        cards = cards.filter(F.col("module") == module)
     pool = above(hits).select("query_id", "id", "score", "rank").join(cards, "id")
     picked = diversify(pool, search_limit(limit), weight)
     cards = pool.select(F.col("query_id").cast("long").alias("query_id"), F.col("id").cast("string").alias("id"), "source", "symbol_name", "signature", "start_line", "end_line")
@@ -163,16 +331,18 @@ def _finish(hits: DataFrame, chunks: DataFrame, limit: int, module: str | None,
 
 
 def search_context(chunks: DataFrame, queries: DataFrame, limit: int = 10, module: str | None = None, faithful: bool = True) -> DataFrame:
-    """Hybrid search with threshold, diversity and budget. Queries need query_id, query and query_vector. ``module`` filters; it is off by default."""
-    k = fan_out(limit)
+    """Hybrid search with threshold, diversity and budget. Queries need query_id, query and query_vector. ``module`` filters; it is off by default.
+    Chunks without a vector are found by their words alone."""
+    k, chunks = fan_out(limit), of_module(chunks, module)
     legs = hybrid(vector_search(chunks, queries, k), bm25(chunks, queries, k), k, faithful)
-    return _finish(legs, chunks, limit, module, MMR_LAMBDA, TOKEN_BUDGET, SNIPPET_LINES)
+    return _finish(legs, chunks, limit, MMR_LAMBDA, TOKEN_BUDGET, SNIPPET_LINES)
 
 
 def search_context_degraded(chunks: DataFrame, queries: DataFrame, limit: int = 10, module: str | None = None) -> DataFrame:
     """Without vectors: BM25 on the expanded query, then threshold (on the raw score), diversity and budget; flagged."""
+    chunks = of_module(chunks, module)
     expanded = expand_queries(queries).select("query_id", F.col("expanded").alias("query"))
-    out = _finish(bm25(chunks, expanded, fan_out(limit)), chunks, limit, module, MMR_LAMBDA, TOKEN_BUDGET, SNIPPET_LINES)
+    out = _finish(bm25(chunks, expanded, fan_out(limit)), chunks, limit, MMR_LAMBDA, TOKEN_BUDGET, SNIPPET_LINES)
     return out.withColumn("degraded", F.lit(True)).withColumn("mode", F.lit("lexical"))
 
 

@@ -58,6 +58,15 @@ def vector_topk(spark, d):
     return hits.select("query_id", "id", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"), "rank")
 
 
+@query("vector_cells")
+def vector_cells(spark, d):
+    """The inverted file: every vector indexed, every vector whose id is divisible by 20 asked."""
+    rows = B.vectors(spark, d)
+    centres = search.fit_cells(rows)
+    hits = search.cell_search(search.index_cells(rows, centres), centres, B.vector_queries(spark, d), 10)
+    return hits.select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
 @query("score_threshold", f"WITH {_VEC.format(k=30)} SELECT query_id, id, round(score, 6) AS score FROM vec WHERE score >= 0.35")
 def score_threshold(spark, d):
     hits = search.vector_search(B.vectors(spark, d), B.vector_queries(spark, d), 30)
@@ -91,20 +100,19 @@ def _synonyms() -> str:
 
 
 _PARTS = r"list_filter(regexp_split_to_array(regexp_replace(regexp_replace({c}, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[\s_-]+'), lambda w: w <> '')"
-_EXPAND = rf"""
-WITH {_synonyms()},
-q AS (SELECT item_id AS query_id, 'getUserAuth db-config rate limit ' || text AS query FROM benchmark),
-w AS (SELECT query_id, query, unnest(t) AS token, generate_subscripts(t, 1) AS p FROM (SELECT *, list_filter(regexp_split_to_array(trim(query), '\s+'), lambda x: x <> '') AS t FROM q)),
+_EXPAND_PARTS = rf"""{_synonyms()},
+q0 AS (SELECT item_id AS query_id, 'getUserAuth db-config rate limit ' || text AS query FROM benchmark),
+w AS (SELECT query_id, query, unnest(t) AS token, generate_subscripts(t, 1) AS p FROM (SELECT *, list_filter(regexp_split_to_array(trim(query), '\s+'), lambda x: x <> '') AS t FROM q0)),
 c AS (SELECT *, regexp_replace(token, '^[^\w-]+|[^\w-]+$', '', 'g') AS core FROM w),
 pt AS (SELECT query_id, p, lower(unnest(l)) AS part, generate_subscripts(l, 1) AS i FROM (SELECT query_id, p, {_PARTS.format(c='core')} AS l FROM c WHERE regexp_matches(core, '[_-]|[a-z0-9][A-Z]|[A-Z][A-Z][a-z]'))),
 new AS (SELECT query_id, part AS n, [p, 0, i, 0] AS place FROM pt
   UNION ALL SELECT query_id, syn, [p, 1, k, 0] FROM c JOIN syn ON word = lower(core)
   UNION ALL SELECT query_id, syn, [p, 2, i, k] FROM pt JOIN syn ON word = part
-  UNION ALL SELECT query_id, syn, [1000000000, 0, k, 0] FROM q JOIN syn ON contains(word, ' ') AND contains(lower(query), word)),
+  UNION ALL SELECT query_id, syn, [1000000000, 0, k, 0] FROM q0 JOIN syn ON contains(word, ' ') AND contains(lower(query), word)),
+
 f AS (SELECT query_id, n, min(place) AS place FROM new GROUP BY ALL),
-g AS (SELECT f.* FROM f WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.query_id = f.query_id AND lower(w.token) = f.n))
-SELECT query_id, query || coalesce(' ' || string_agg(n, ' ' ORDER BY place), '') AS expanded FROM q LEFT JOIN g USING (query_id) GROUP BY query_id, query
-"""
+g AS (SELECT f.* FROM f WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.query_id = f.query_id AND lower(w.token) = f.n))"""
+_EXPAND = f"""WITH {_EXPAND_PARTS} SELECT query_id, query || coalesce(' ' || string_agg(n, ' ' ORDER BY place), '') AS expanded FROM q0 LEFT JOIN g USING (query_id) GROUP BY query_id, query"""
 
 
 @query("expand_query", _EXPAND)
@@ -114,7 +122,21 @@ def expand_query(spark, d):
     return search.expand_queries(q).select("query_id", "expanded")
 
 
-@query("mmr_rerank")
+def _mmr(pool: str, k: int, last: str = "picked") -> str:
+    """SQL for greedy diversity: ``pool`` has query_id, id, score, rank and w (distinct words); one step of the recursion picks one row for each query."""
+    return f"""like_ AS MATERIALIZED (SELECT a.query_id, a.id AS a, b.id AS b, CASE WHEN len(a.w) + len(b.w) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a.w, b.w))::DOUBLE / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) END AS s
+  FROM {pool} a JOIN {pool} b ON a.query_id = b.query_id AND a.id <> b.id),
+step AS (SELECT query_id, 1 AS pick, arg_min(id, [-round(0.6::DOUBLE * score, 9), rank]) AS id, [arg_min(id, [-round(0.6::DOUBLE * score, 9), rank])] AS done FROM {pool} GROUP BY query_id
+  UNION ALL SELECT query_id, pick, id, list_append(done, id) FROM (SELECT c.query_id, c.pick + 1 AS pick, p.id, c.done,
+    row_number() OVER (PARTITION BY c.query_id ORDER BY round(0.6::DOUBLE * p.score - (1 - 0.6::DOUBLE) * (SELECT max(l.s) FROM like_ l WHERE l.query_id = c.query_id AND l.a = p.id AND list_contains(c.done, l.b)), 9) DESC, p.rank) AS k
+    FROM step c JOIN {pool} p ON p.query_id = c.query_id AND NOT list_contains(c.done, p.id) WHERE c.pick < {k}) WHERE k = 1),
+{last} AS (SELECT s.query_id, s.id, s.pick, p.score FROM step s JOIN {pool} p USING (query_id, id))"""
+
+
+_POOL = f"pool AS MATERIALIZED (SELECT query_id, bm.id, score, rank, list_distinct({TOK.format(c='text')}) AS w FROM bm JOIN documents ON doc_id::VARCHAR = bm.id)"
+
+
+@query("mmr_rerank", f"WITH RECURSIVE {_bm25(30, _BENCH)}, {_POOL}, {_mmr('pool', 10)} SELECT query_id, id, round(score, 6) AS score, pick FROM picked")
 def mmr_rerank(spark, d):
     cards = B.chunk_cards(spark, d)
     pool = search.bm25(cards, B.keyword_queries(spark, d), 30).join(cards.select("id", "content"), "id")
@@ -141,11 +163,22 @@ def budget_fill(spark, d):
 @query("search_context")
 def search_context(spark, d):
     cards = B.chunk_cards(spark, d)
-    both = cards.join(B.vectors(spark, d).select("id", "vector"), "id")
+    both = cards.join(B.vectors(spark, d).select("id", "vector"), "id", "left")
     return search.search_context(both, _hybrid_inputs(spark, d).filter("query is not null"))
 
 
-@query("search_context_degraded")
+# Expansion, keyword search, threshold, diversity and budget, each in SQL as above.
+_DEGRADED = f"""WITH RECURSIVE {_EXPAND_PARTS.replace("'getUserAuth db-config rate limit ' || text", "text")}, e AS (SELECT query_id, query || coalesce(' ' || string_agg(n, ' ' ORDER BY place), '') AS query FROM q0 LEFT JOIN g USING (query_id) GROUP BY query_id, query),
+{_bm25(30, "q AS (SELECT * FROM e)")}, pool AS MATERIALIZED (SELECT query_id, bm.id, score, rank, list_distinct({TOK.format(c='text')}) AS w FROM bm JOIN documents ON doc_id::VARCHAR = bm.id WHERE score >= 0.2),
+{_mmr('pool', 10)},
+shown AS (SELECT query_id, p.id, pick, score, source || '/' || doc_id || '.md' AS source, array_to_string(string_split(text, chr(10))[1:5], chr(10)) AS snippet, substring(string_split(text, chr(10))[1], 1, 160) AS signature, len(string_split(text, chr(10)))::INT AS end_line FROM picked p JOIN documents ON doc_id::VARCHAR = p.id),
+costs AS (SELECT *, (ceil(length(snippet) / 4) + ceil(length(signature) / 4) + 10)::INT AS cost FROM shown),
+fill AS (SELECT query_id, 0 AS pick, 0 AS spent, false AS taken FROM (SELECT DISTINCT query_id FROM costs)
+  UNION ALL SELECT c.query_id, c.pick, CASE WHEN f.spent + c.cost <= 1200 THEN f.spent + c.cost ELSE f.spent END, f.spent + c.cost <= 1200 FROM fill f JOIN costs c ON c.query_id = f.query_id AND c.pick = f.pick + 1)
+SELECT query_id, pick, id AS chunk_id, source, '' AS symbol, signature, snippet, round(score, 3) AS score, 1 AS start_line, end_line, cost, true AS degraded, 'lexical' AS mode FROM fill JOIN costs USING (query_id, pick) WHERE taken"""
+
+
+@query("search_context_degraded", _DEGRADED)
 def search_context_degraded(spark, d):
     return search.search_context_degraded(B.chunk_cards(spark, d), B.keyword_queries(spark, d))
 
@@ -163,5 +196,7 @@ SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w)) / len
 def jaccard_neighbours(spark, d):
     t = B.table(spark, d, "benchmark").select("item_id", X.tokens(F.col("text")).alias("w"))
     a = t.filter(F.col("item_id") % 20 == 0).select(F.col("item_id").alias("a"), F.col("w").alias("_a"))  # the stated query set
+    if a.limit(search.MOST_QUERIES + 1).count() > search.MOST_QUERIES:
+        raise ValueError("too many queries to broadcast; ask in slices")
     both = t.select(F.col("item_id").alias("b"), "w").join(F.broadcast(a))
     return both.select("a", "b", F.round(X.jaccard(F.col("_a"), F.col("w")), 6).alias("likeness"))
