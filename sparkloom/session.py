@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 import weakref
@@ -91,9 +92,13 @@ def width(spark: SparkSession) -> int:
 
 def arrow_limits(spark: SparkSession, records: int = 2000, size: str = "4m") -> None:
     """Bounds an Arrow batch by rows and bytes, so that very long texts do not meet in one batch. Bounds are only ever lowered: plans run later than they are made, and none may run with more than it asked for."""
-    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    number = lambda x: int(x[:-1]) * unit[x[-1]] if x[-1:] in unit else int(x)
+    unit = {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+
+    def number(value: str) -> int:
+        m = re.fullmatch(r"(-?\d+)\s*([kmg]?)i?b?", value.strip().lower())
+        return int(m[1]) * unit[m[2]] if m else 0
+
     for name, value in (("maxRecordsPerBatch", str(records)), ("maxBytesPerBatch", size)):
-        now = spark.conf.get(f"spark.sql.execution.arrow.{name}", "0").lower().removesuffix("b")
-        if not 0 < number(now or "0") <= number(value):
-            spark.conf.set(f"spark.sql.execution.arrow.{name}", value)
+        key = f"spark.sql.execution.arrow.{name}"
+        if not 0 < number(spark.conf.get(key)) <= number(value):
+            spark.conf.set(key, value)
