@@ -101,19 +101,20 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """
     spark = edges.sparkSession
     now = stage(edges.select("a", "b").filter("a <> b").distinct(), "edges")
+    if now.isEmpty():
+        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     seen = None
     for _ in range(most):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = stage(large, "edges")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         small = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         nxt = stage(small, "edges")
         sums = nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        drop(now, large)
+        drop(now)
         now = nxt
         if tuple(sums) == seen:
             break
