@@ -27,7 +27,7 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Standard deviations below which no direction of a group's scatter is taken to be, by transformed statistic.
 FLOORS = {"length": 0.12, "symbols": 0.10, "dup_lines": 0.15, "repeats": 0.15}
 DIMS = tuple(FLOORS)
-#: Squared distance with four degrees of freedom that a Gaussian row passes with a chance of 1e-9.
+#: Squared distance with four degrees of freedom beyond which a Gaussian row lies with a chance of 2.2e-9.
 CUTOFF = 46.2
 #: Groups (languages and sources) up to which their estimates are broadcast; that many take about 20 MB.
 MOST_GROUPS = 50_000
