@@ -1,7 +1,10 @@
 """A training corpus from raw documents, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next one's docs. All but the
-last return the columns of documents. The last gives each document of the mix as pieces: doc_id, n_tokens, n_bytes, round_trip, ids.
+last return the columns of documents, whatever their names. The last gives each document of the mix as pieces: doc_id, n_tokens, n_bytes, round_trip, ids.
+
+Defined cases, in every stage: a null or empty text has no words and is rejected by the quality rules; rows with a null or shared doc_id are told apart by their text, and rows that repeat both are one
+document to the near-dedup; nulls in other columns pass through; of ties the smaller (doc_id, hash of the text) stays; a text of any length is worked on whole; an empty table stays empty.
 """
 
 from __future__ import annotations
