@@ -33,8 +33,12 @@ def scan(spark: SparkSession, root: str, paths: list[str] | None = None) -> Data
     root = root.rstrip("/")
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     found = reader.load([f"{root}/{p}" for p in paths] if paths else root)
-    below = F.regexp_replace(F.col("path"), r"^(?:[a-z]+:/{0,2})?/*" + re.escape(re.sub(r"^[a-z]+:/*", "/", root).lstrip("/")) + "/", "")
-    return found.select(below.alias("path"), "content", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"))
+    return found.select(_below(root).alias("path"), "content", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"))
+
+
+def _below(root: str) -> Column:
+    root = root.rstrip("/")
+    return F.regexp_replace(F.col("path"), r"^(?:[a-z]+:/{0,2})?/*" + re.escape(re.sub(r"^[a-z]+:/*", "/", root).lstrip("/")) + "/", "")
 
 
 def size_gate(path: Column, size: Column) -> Column:
@@ -159,11 +163,63 @@ def extract_documents(files: DataFrame, pdf: Callable[[bytes], str | None] | Non
     return files.select("path", "content").filter(X.is_document(F.col("path"))).mapInPandas(run, "path string, text string")
 
 
-def read_files(spark: SparkSession, root: str, rules: list[str] | None = None, paths: list[str] | None = None, pdf: Callable | None = None) -> DataFrame:
-    """path, content (text), hash, mtime of all files that pass the rules, gates and the sniff; documents come as their text."""
-    found = scan(spark, root, paths)
-    if not paths:
-        found = found.filter(~walk_ignored(F.col("path")) & ~ignored(F.col("path"), rules or []))
+#: Files up to which those that changed are read by name; beyond, the tree is read and the others are dropped.
+MOST_NAMED = 20_000
+
+
+def ignore_files(spark: SparkSession, root: str, name: str = ".gitignore") -> dict[str, str]:
+    """The ignore files of a tree by directory, none from directories that a walk never enters. Spark's readers pass dot files over, so the tasks look for one in each directory
+    that holds a file, or leads to one, by the file system that pyarrow knows for ``root``. The rules are compiled on the driver anyway."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    directories = scan(spark, root).select("path").filter(~walk_ignored(F.col("path"))).select(F.explode(above).alias("path")).distinct()
+    base = root.rstrip("/")
+
+    def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        files, at = fs.FileSystem.from_uri(base if ":" in base else f"file://{base}")
+        for pdf_ in frames:
+            out = []
+            for d in pdf_["path"]:
+                place = "/".join(x for x in (at.rstrip("/"), d, name) if x)
+                if files.get_file_info(place).type == fs.FileType.File:
+                    with files.open_input_stream(place) as f:
+                        out.append((d, f.read().decode("utf-8", "replace")))
+            yield pd.DataFrame(out, columns=["path", "text"])
+
+    return {r["path"]: r["text"] for r in directories.mapInPandas(look, "path string, text string").collect()}
+
+
+def list_files(spark: SparkSession, root: str, rules: list[str] | None = None) -> DataFrame:
+    """path, size, mtime of the files that a walk takes in; no content is read."""
+    found = scan(spark, root).select("path", "size", "mtime")
+    found = found.filter(~walk_ignored(F.col("path")) & ~ignored(F.col("path"), rules or []))
+    return found.filter(size_gate(F.col("path"), F.col("size")))
+
+
+def read_files(spark: SparkSession, root: str, rules: list[str] | None = None, paths: list[str] | None = None, pdf: Callable | None = None, known: DataFrame | None = None) -> DataFrame:
+    """path, content (text), hash, mtime of all files that pass the rules, gates and the sniff; documents come as their text.
+
+    Spark's readers pass over dot files and files without bytes, so these are never among them. With ``known`` (path, hash, mtime) a file whose time has not moved is not read: it comes with a null content and the known hash."""
+    if known is None or paths:
+        return _contents(scan(spark, root, paths) if paths else _walked(spark, root, rules), pdf)
+    listed = list_files(spark, root, rules).join(known.select("path", F.col("hash").alias("_h"), F.col("mtime").alias("_m")), "path", "left")
+    same = F.coalesce(F.col("mtime") == F.col("_m"), F.lit(False))
+    old = listed.filter(same).select("path", F.lit(None).cast("string").alias("content"), F.col("_h").alias("hash"), "mtime")
+    moved = listed.filter(~same).select("path")
+    names = [r["path"] for r in moved.limit(MOST_NAMED + 1).collect()]
+    if not names:
+        return old
+    read = _contents(scan(spark, root, names), pdf) if len(names) <= MOST_NAMED else _contents(_walked(spark, root, rules).join(moved, "path", "left_semi"), pdf)
+    return old.unionByName(read)
+
+
+def _walked(spark: SparkSession, root: str, rules: list[str] | None) -> DataFrame:
+    return scan(spark, root).filter(~walk_ignored(F.col("path")) & ~ignored(F.col("path"), rules or []))
+
+
+def _contents(found: DataFrame, pdf: Callable | None) -> DataFrame:
     found = found.filter(size_gate(F.col("path"), F.col("size")))
     plain = found.filter(~F.coalesce(X.is_document(F.col("path")), F.lit(False)) & ~looks_binary(F.col("content")))
     texts = plain.select("path", text_of(F.col("content")).alias("content"), "mtime")

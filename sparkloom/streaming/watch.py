@@ -1,7 +1,7 @@
 """File changes as a stream: a change log in a folder, quiet periods as sessions, waves, and a sink that applies them one after the other.
 
 Spark's file source does not see edits of a file it has read, so a watcher appends one small file per change to a log folder. A wave that fails
-is logged and the stream goes on; deletes are left to the next full walk.
+is logged, its paths are kept beside the checkpoint and come again with the next wave, and the stream goes on; deletes are left to the next full walk.
 """
 
 from __future__ import annotations
@@ -41,11 +41,26 @@ def waves(paths: DataFrame, size: int = WAVE) -> DataFrame:
 def apply_changes(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False):
     """Starts the query that hands each batch's distinct paths to ``apply``, never two at a time."""
 
+    retry = f"{checkpoint.rstrip('/')}-retry"
+
     def sink(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        paths = batch.select("path").distinct()
+        jvm = spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(retry)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        old = [f.getPath() for f in fs.listStatus(at)] if fs.exists(at) else []
+        if old:
+            paths = paths.unionByName(spark.read.schema("path string").parquet(*(str(f) for f in old))).distinct()
         try:
-            apply(batch.select("path").distinct(), number)
+            apply(paths, number)
         except Exception:  # noqa: BLE001  one bad wave must not end the watch
             log.exception("wave %d failed", number)
+            paths.write.mode("overwrite").parquet(f"{retry}/wave-{number:09d}")
+            old = [f for f in old if f.getName() != f"wave-{number:09d}"]
+        # Only now that they are applied, or kept again, may the earlier ones go.
+        for f in old:
+            fs.delete(f, True)
 
     writer = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="300 milliseconds")).start()
