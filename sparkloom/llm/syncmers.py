@@ -8,24 +8,29 @@ sets, exact where both have fewer.
 
 Defined cases: a null text is empty; an empty text has an empty fingerprint, like any other empty one; a text without any selected run (a
 short one) has one anchor, the hash of the whole text; rows with equal doc_id follow each other in the order of their texts; a null doc_id
-comes after all others; the next document of the only one is itself; an empty table stays empty; other columns are not read.
+comes after all others; the next document of the only one is itself; a text of any length is read whole; an empty table stays empty; other
+columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.flattext import U, mix, rolling, sliding_min
-from sparkloom.session import arrow_limits, stage, width
+from sparkloom.session import arrow_limits, width
 
 K, S, KEEP = 16, 8, 64
+#: Code points of a text that tell rows of one doc_id apart when documents are put in order.
+BEGINS = 24
 SEED = U(0x27D4EB2F165667C5)
 
 
@@ -123,45 +128,42 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out(run, [*(r[2] for r in run[1:]), held[2]])
 
 
+def _bucket(starts: list[str]) -> Column:
+    """The place, from 0, of the last of the ascending ``starts`` that is not above _key: found among every m-th, then among m."""
+    m = math.isqrt(len(starts) - 1) + 1
+    parts = [starts[i : i + m] for i in range(0, len(starts), m)]
+    held = F.from_json(F.lit(json.dumps(parts)), "array<array<string>>")
+    tops = F.from_json(F.lit(json.dumps([p[0] for p in parts])), "array<string>")
+    below = F.greatest(F.size(F.filter(tops, lambda a: a <= F.col("_key"))), F.lit(1))
+    return (below - 1) * m + F.size(F.filter(F.element_at(held, below), lambda a: a <= F.col("_key"))) - 1
+
+
 def compared(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Every document beside its edited text and the next document, descending doc_id.
+    """Every document beside its edited text and the next document, descending doc_id, then by text.
 
-    Texts move once: ranges of doc_id (their borders are one pair of ids per range, read by the driver) become buckets, and the first
-    document of the next lower range is added to each bucket as a follower, so that no order over all rows is needed.
+    Texts move once: ranges of (doc_id, how the text begins) become buckets, their first keys, one per range, are read by the driver,
+    and the first document of the next range is added to each bucket as a follower, so that no order over all rows is needed.
+    Rows of one doc_id, null ids included, are spread by their texts; those that also begin alike share a bucket.
     """
     spark = docs.sparkSession
     arrow_limits(spark)
-    low = -(1 << 63)
-    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(low))
-    n = buckets or 4 * width(spark)
-    ranges = docs.select(id_.alias("_id")).repartitionByRange(n, "_id").groupBy(F.spark_partition_id().alias("_p"))
-    borders = sorted(tuple(r) for r in ranges.agg(F.min("_id").alias("a"), F.max("_id").alias("b")).select("a", "b").collect())
+    # Ids as hexadecimal digits whose order is turned round (the complement cannot overflow), null after them; then the bytes the text begins with.
+    digits = F.lpad(F.hex(F.bitwise_not(F.col("doc_id").cast("long")).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = F.concat(F.coalesce(digits, F.lit("G")), F.hex(F.substring(text, 1, BEGINS))).alias("_key")
+    ranges = docs.select(key).repartitionByRange(buckets or 4 * width(spark), "_key").groupBy(F.spark_partition_id().alias("_p"))
+    starts = sorted(r["a"] for r in ranges.agg(F.min("_key").alias("a")).select("a").collect())
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_.alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    if not borders:
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key, text.alias("text"))
+    if not starts:
         return texts.select("doc_id", "text").mapInArrow(lambda batches: iter(()), schema)
-    starts = F.array(*(F.lit(a) for a, _ in borders))
-    bucket = F.size(F.filter(starts, lambda a: a <= F.col("_id"))) - 1
-    heads = [b for _, b in borders]
-    follows = F.when(F.col("_id") == heads[-1], 0).when(F.col("_id").isin(heads[:-1]), bucket + 1) if len(heads) > 1 else F.when(F.col("_id") == heads[-1], 0)
-    placed = texts.withColumn("_own", F.struct(bucket.alias("bucket"), F.lit(0).alias("last")))
-    copies = F.when(follows.isNotNull(), F.array("_own", F.struct(follows.alias("bucket"), F.lit(1).alias("last")))).otherwise(F.array("_own"))
-    spread = placed.withColumn("_at", F.explode(copies)).select("_at.bucket", "_at.last", "_id", "doc_id", "text")
-    # Of several rows with a head's id only the first in order may follow; the others are put behind it and left over.
-    sorted_ = spread.repartition(width(spark), "bucket").sortWithinPartitions("bucket", "last", F.desc("_id"), "text")
-    return sorted_.mapInArrow(_first_follower, "bucket int, doc_id long, text string").mapInArrow(_compared, schema)
-
-
-def _first_follower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the followers of a bucket (last = 1) only the first stays."""
-    done = None
-    for batch in batches:
-        last, bucket = batch.column("last").to_numpy(), batch.column("bucket").to_numpy()
-        keep = np.ones(batch.num_rows, bool)
-        for i in np.flatnonzero(last == 1):
-            keep[i] = bucket[i] != done
-            done = bucket[i]
-        yield batch.select(["bucket", "doc_id", "text"]).filter(pa.array(keep))
+    placed = texts.select(_bucket(starts).alias("bucket"), F.lit(0).alias("last"), "_key", "doc_id", "text")
+    # A range begins with the least text of its first key; the last range is followed by the first.
+    heads = texts.filter(F.col("_key").isin(starts)).groupBy("_key").agg(F.min("text").alias("text"))
+    before = F.pmod(_bucket(starts) - 1, F.lit(len(starts)))
+    followers = heads.select(before.alias("bucket"), F.lit(1).alias("last"), "_key", F.lit(None).cast("long").alias("doc_id"), "text")
+    spread = placed.unionByName(followers).repartition(width(spark), "bucket").sortWithinPartitions("bucket", "last", "_key", "text")
+    return spread.select("bucket", "doc_id", "text").mapInArrow(_compared, schema)
 
 
 def anchors(docs: DataFrame) -> DataFrame:
