@@ -5,7 +5,8 @@ one bit. Each half is indexed once for each of its bits with that bit deleted (a
 an equality join on (half, deleted bit, rest), and a bit count verifies them.
 
 Equal fingerprints are one class before anything is joined. A signature shared by up to ``crowd`` classes gives pairs. Classes that meet
-in a larger crowd are not paired there; each is instead indexed under all its variants with two bits deleted: at most four
+in a larger crowd are not paired there; each is instead indexed under what two of six segments leave, fifteen keys of 42 bits or more. Those
+in a crowd there as well are indexed under all their variants with two bits deleted: at most four
 fingerprints share such a variant and all of these link, so a star suffices and every link of the crowd is found.
 Components come from alternating star contractions over staged edge tables, never on the driver.
 
@@ -17,6 +18,7 @@ are null; of equal candidates for a component's name the smaller id wins, so the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +72,13 @@ def text_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
+def _pairs_of_segments() -> list[int]:
+    """The 15 masks of two out of six segments, as signed numbers."""
+    cuts = [0, 11, 22, 33, 44, 54, 64]
+    parts = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
+    return [m - (1 << 64) if m >> 63 else m for m in (x | y for x, y in combinations(parts, 2))]
+
+
 def links(classes: DataFrame, bits: int = 2, crowd: int = CROWD) -> DataFrame:
     """Edges (a < b) between distinct fingerprints ``fp`` that differ in at most two bits; stars stand for cliques of up to four."""
     if bits != 2:
@@ -79,12 +88,20 @@ def links(classes: DataFrame, bits: int = 2, crowd: int = CROWD) -> DataFrame:
     keyed = classes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("_b")).select("fp", key.alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     hits = stage(keyed.join(shared, "key"), "signatures")
-    few = hits.filter(F.col("n") <= crowd)
-    a, b = few.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
-    pairs = a.join(b, "key").filter((F.col("a") < F.col("b")) & near).select("a", "b")
 
+    def met(few: DataFrame) -> DataFrame:
+        a, b = few.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
+        return a.join(b, "key").filter((F.col("a") < F.col("b")) & near).select("a", "b")
+
+    pairs = met(hits.filter(F.col("n") <= crowd))
+    # Two differing bits leave four of six segments equal: fifteen keys of 42 bits or more for each member of a crowd.
     crowded = hits.filter(F.col("n") > crowd).select("fp").distinct()
+    gone = F.array(*(F.lit(m) for m in _pairs_of_segments()))
+    parts = crowded.select("fp", F.posexplode(gone).alias("_k", "_m")).select("fp", F.struct("_k", F.col("fp").bitwiseAND(F.bitwise_not("_m")).alias("v")).alias("key"))
+    again = stage(parts.join(parts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"), "signatures")
+    pairs = pairs.unionByName(met(again.filter(F.col("n") <= crowd)))
+    crowded = again.filter(F.col("n") > crowd).select("fp").distinct()
     two = crowded.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(62)))).withColumn("_j", F.explode(F.sequence(F.col("_i") + 1, F.lit(63))))
     gone = F.expr("shiftleft(1L, _i) | shiftleft(1L, _j)")
     variants = two.select("fp", (F.col("_i") * 64 + F.col("_j")).alias("_ij"), F.col("fp").bitwiseAND(F.bitwise_not(gone)).alias("_v"))
