@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import atexit
 import gc
-import re
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
@@ -90,15 +91,22 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def arrow_limits(spark: SparkSession, records: int = 2000, size: str = "4m") -> None:
-    """Bounds an Arrow batch by rows and bytes, so that very long texts do not meet in one batch. Bounds are only ever lowered: plans run later than they are made, and none may run with more than it asked for."""
-    unit = {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+def _parts(batches: Iterator[pa.RecordBatch], records: int, size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        waiting = [batch]
+        while waiting:
+            one = waiting.pop()
+            if one.num_rows > 1 and (one.num_rows > records or one.nbytes > size):
+                half = one.num_rows // 2
+                waiting += [one.slice(half), one.slice(0, half)]
+            else:
+                yield one
 
-    def number(value: str) -> int:
-        m = re.fullmatch(r"(-?\d+)\s*([kmg]?)i?b?", value.strip().lower())
-        return int(m[1]) * unit[m[2]] if m else 0
 
-    for name, value in (("maxRecordsPerBatch", str(records)), ("maxBytesPerBatch", size)):
-        key = f"spark.sql.execution.arrow.{name}"
-        if not 0 < number(spark.conf.get(key)) <= number(value):
-            spark.conf.set(key, value)
+def bounded(f: Callable, records: int = 2000, size: int = 4 << 20) -> Callable:
+    """A function for ``mapInArrow`` whose batches hold at most ``records`` rows and ``size`` bytes (a longer row comes alone), whatever the session's limits are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return f(_parts(batches, records, size))
+
+    return run
