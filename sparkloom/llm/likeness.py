@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.flattext import U, Words, pieces, rolling
-from sparkloom.session import drop, stage
+from sparkloom.session import bounded, drop, stage
 
 SHINGLE, SAMPLE, MOST = 5, 20000, 200000
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
@@ -66,11 +66,11 @@ def seeds(texts: DataFrame) -> DataFrame:
     """(token, t, n, at, many): the first shingles of every distinct text that another text has among its first, and by how many."""
     spark = texts.sparkSession
     every = max(1, texts.count() // SAMPLE)
-    sample = texts.filter(F.pmod("t", F.lit(every)) == 0).dropDuplicates(["t"]).select("text").mapInArrow(_all, "token long")
+    sample = texts.filter(F.pmod("t", F.lit(every)) == 0).dropDuplicates(["t"]).select("text").mapInArrow(bounded(_all), "token long")
     common = sample.groupBy("token").agg(F.count("*").alias("n")).filter("n >= 4").orderBy(F.desc("n"), "token").limit(MOST).toArrow()
     known, often = common.column("token").to_numpy().view(U), common.column("n").to_numpy()
     order = np.argsort(known)
-    first = texts.mapInArrow(_first(spark.sparkContext.broadcast((known[order], often[order]))), "token long, t long, n int, at int")
+    first = texts.mapInArrow(bounded(_first(spark.sparkContext.broadcast((known[order], often[order])))), "token long, t long, n int, at int")
     shared = stage(first.groupBy("token").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count("*").alias("many")).filter("a <> b").select("token", "many"), "shared")
     return stage(first.join(shared, "token").distinct(), "shingles")
 
@@ -91,6 +91,6 @@ def links(rows: DataFrame, texts: DataFrame, star: int | None) -> DataFrame:
     used = stage(texts.join(needed, "t", "left_semi").dropDuplicates(["t"]), "compared")
     x, y = used.select("t", F.col("text").alias("x")), used.select(F.col("t").alias("u"), F.col("text").alias("y"))
     both = pairs.join(x, "t").join(y, "u").select(F.col("fp").alias("a"), F.col("g").alias("b"), "x", "y")
-    found = stage(both.mapInArrow(_alike, "a long, b long").distinct(), "alike")
+    found = stage(both.mapInArrow(bounded(_alike), "a long, b long").distinct(), "alike")
     drop(pairs, used)
     return found

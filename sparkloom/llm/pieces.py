@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.session import arrow_limits
+from sparkloom.session import bounded
 
 MARK = "▁"
 #: Added below the least score for a character that is no piece.
@@ -295,7 +295,6 @@ class _Shared:
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, n_bytes (pieces that are bytes), round_trip (whether decoding gave the text back) and ids."""
     spark = docs.sparkSession
-    arrow_limits(spark, 1000, "2m")
     shared = _Shared(spark.sparkContext.broadcast(Pieces.load(path or model_path())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,7 +326,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                 a = b
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n_tokens long, n_bytes long, round_trip boolean, ids array<int>"
+        bounded(run, 1000, 2 << 20), "doc_id long, n_tokens long, n_bytes long, round_trip boolean, ids array<int>"
     )
 
 
@@ -341,7 +340,7 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
             texts = [model.decode(np.array(x or [], np.int32)) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return tokens.select("doc_id", "ids").mapInArrow(bounded(run, 1000, 2 << 20), "doc_id long, text string")
 
 
 def op3_query(spark, sf_dir: str) -> DataFrame:

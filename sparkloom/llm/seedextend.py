@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.flattext import SPAN_BASE, U, Words, mix, pieces, powers, rolling, sliding_min
-from sparkloom.session import arrow_limits, drop, release, stage
+from sparkloom.session import bounded, drop, release, stage
 
 WINDOW, GRAM = 20, 6
 REACH = WINDOW - GRAM + 1
@@ -151,9 +151,8 @@ def text_mark(text: Column) -> Column:
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(doc, t, start, mask): bit i of ``mask`` says that the window at word ``start`` + i starts earlier elsewhere too."""
-    arrow_limits(docs.sparkSession)
     texts = keyed(docs)
-    anchors = texts.mapInArrow(_anchors, ANCHOR)
+    anchors = texts.mapInArrow(bounded(_anchors), ANCHOR)
     # Staged, so that the join below it has a shuffle on either side and a hot anchor's partition can be split.
     often = stage(anchors.groupBy("h").agg(F.count("*").alias("_n")).filter("_n > 1").select("h"), "often")
     release(docs.sparkSession)
@@ -165,7 +164,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     apart = classes.join(several, "h", "left_semi").select("h", "ctx", "f.*", "n")
     given = apart.groupBy(F.col("doc").alias("_d"), F.col("t").alias("_t")).agg(F.collect_list(F.struct("h", "ctx", "start", "n")).alias("given"))
     extended = texts.join(given, (F.col("doc") == F.col("_d")) & (F.col("t") == F.col("_t"))).select("doc", "t", "text", "given")
-    windows = stage(extended.mapInArrow(_windows, "h long, ctx long, w long, i int, doc long, t long, start int"), "windows")
+    windows = stage(extended.mapInArrow(bounded(_windows), "h long, ctx long, w long, i int, doc long, t long, start int"), "windows")
     release(docs.sparkSession)
     earliest = windows.groupBy("h", "w").agg(F.min(F.struct("doc", "t", "start")).alias("e"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     earliest = stage(earliest, "earliest")
@@ -193,7 +192,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct(*(text.alias(c) if c == "text" else F.col(c) for c in columns)).alias("__row"), key.alias("__doc"), text_mark(F.coalesce(text, F.lit(""))).alias("__t"))
     joined = rows.join(spans, (F.col("__doc") == F.col("__d")) & (F.col("__t") == F.col("__u")), "left")
     out = f"__row {joined.schema['__row'].dataType.simpleString()}, __n_words long, __n_removed long, __sha string"
-    cut = joined.select("__row", F.col("__row.text").alias("__text"), "__spans").mapInArrow(_cut, out)
+    cut = joined.select("__row", F.col("__row.text").alias("__text"), "__spans").mapInArrow(bounded(_cut), out)
     return cut.select("__row.*", "__n_words", "__n_removed", "__sha")
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import likeness
-from sparkloom.session import arrow_limits, drop, release, stage, width
+from sparkloom.session import bounded, drop, release, stage, width
 
 CROWD = 64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -62,9 +62,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, t (a hash of the text) and fp (the 64 bits as a signed long) of every document."""
-    arrow_limits(docs.sparkSession)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("t"), F.col("text").cast("string").alias("text"))
-    return named.mapInArrow(_signed, "doc_id long, t long, fp long")
+    return named.mapInArrow(bounded(_signed), "doc_id long, t long, fp long")
 
 
 def text_key() -> Column:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.flattext import U, mix, rolling, sliding_min
-from sparkloom.session import arrow_limits, width
+from sparkloom.session import bounded, width
 
 K, S, KEEP = 16, 8, 64
 #: Code points of a text that tell rows of one doc_id apart when documents are put in order.
@@ -146,7 +146,6 @@ def compared(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     Rows of one doc_id, null ids included, are spread by their texts; those that also begin alike share a bucket.
     """
     spark = docs.sparkSession
-    arrow_limits(spark)
     # Ids as hexadecimal digits whose order is turned round (the complement cannot overflow), null after them; then the bytes the text begins with.
     digits = F.lpad(F.hex(F.bitwise_not(F.col("doc_id").cast("long")).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -163,7 +162,7 @@ def compared(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     before = F.pmod(_bucket(starts) - 1, F.lit(len(starts)))
     followers = heads.select(before.alias("bucket"), F.lit(1).alias("last"), "_key", F.lit(None).cast("long").alias("doc_id"), "text")
     spread = placed.unionByName(followers).repartition(width(spark), "bucket").sortWithinPartitions("bucket", "last", "_key", "text")
-    return spread.select("bucket", "doc_id", "text").mapInArrow(_compared, schema)
+    return spread.select("bucket", "doc_id", "text").mapInArrow(bounded(_compared), schema)
 
 
 def anchors(docs: DataFrame) -> DataFrame:
@@ -174,8 +173,7 @@ def anchors(docs: DataFrame) -> DataFrame:
             row, place, h = syncmers([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(place), pa.array(h.view(np.int64))], names=["doc_id", "place", "hash"])
 
-    arrow_limits(docs.sparkSession, 200, "1m")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(of, "doc_id long, place long, hash long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(bounded(of, 200, 1 << 20), "doc_id long, place long, hash long")
 
 
 def op4_query(spark, sf_dir: str) -> DataFrame:

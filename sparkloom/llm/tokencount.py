@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.session import arrow_limits, drop, stage
+from sparkloom.session import bounded, drop, stage
 
 RUN = 1024
 #: Ids of a block at most; a block of 16-bit ids then has half a megabyte.
@@ -55,7 +55,6 @@ def token_blocks(docs: DataFrame, path: str | None = None, block_ids: int = BLOC
     """Flat token files from documents, one file per task, cut into blocks: file, block, payload (16-bit little-endian ids) and
     the doc_ids of the documents closed in the block, in order, which name documents but do not tell where they are."""
     spark = docs.sparkSession
-    arrow_limits(spark, 1000, "2m")
     path = path or ranks_path()
     with open(path, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read().splitlines())
@@ -95,7 +94,7 @@ def token_blocks(docs: DataFrame, path: str | None = None, block_ids: int = BLOC
             block_end = size
             yield from made(block_end)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(write, BLOCKS + ", doc_ids array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(bounded(write, 1000, 2 << 20), BLOCKS + ", doc_ids array<long>")
 
 
 def flat_blocks(spark: SparkSession, paths: str | list[str], width: int = 2, block_ids: int = BLOCK_IDS) -> DataFrame:
@@ -110,8 +109,7 @@ def flat_blocks(spark: SparkSession, paths: str | list[str], width: int = 2, blo
                         [pa.array([name]), pa.array([k], pa.int64()), pa.array([bytes(raw[a : a + width * block_ids])], pa.binary())], names=["file", "block", "payload"]
                     )
 
-    arrow_limits(spark, 1, "64m")
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(cut, BLOCKS)
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(bounded(cut, 1, 1 << 20), BLOCKS)
 
 
 def separator_scan(blocks: DataFrame, end_id: int, width: int = 2) -> DataFrame:
@@ -133,9 +131,8 @@ def separator_scan(blocks: DataFrame, end_id: int, width: int = 2) -> DataFrame:
                 names.append("doc_ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    arrow_limits(blocks.sparkSession, 8, "16m")
     found = stage(
-        blocks.mapInArrow(search, "file string, block long, n long, ends array<long>" + (", doc_ids array<long>" if named else "")), "separators"
+        blocks.mapInArrow(bounded(search, 8, 16 << 20), "file string, block long, n long, ends array<long>" + (", doc_ids array<long>" if named else "")), "separators"
     )
     tail = F.when(F.size("ends") > 0, F.element_at("ends", -1))
     brief = found.select("file", "block", F.floor(F.col("block") / RUN).alias("run"), "n", F.size("ends").cast("long").alias("k"), tail.alias("tail"))
