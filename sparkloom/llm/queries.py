@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sparkloom.llm import hilbert, licenses, mixing, pages, pieces, quality, seedextend, simhash, syncmers, tokencount
+from sparkloom.llm import alignment, hilbert, infill, licenses, mixing, pages, pieces, quality, seedextend, simhash, syncmers, tokencount, urlrules
 
 
 def queries() -> dict:
@@ -18,6 +18,9 @@ def queries() -> dict:
         "op8_host_suffixes": pages.op8_query,
         "op9_simhash_deletion": simhash.op9_query,
         "op10_mcd_quality": quality.op10_query,
+        "op11_infill_events": infill.op11_query,
+        "op12_url_rules": urlrules.op12_query,
+        "op13_token_alignment": alignment.op13_query,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -28,5 +31,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_entropy_mix": mixing.OP5_SQL,
         "op6_hilbert_shards": hilbert.OP6_SQL,
         "op7_seed_extend": seedextend.OP7_SQL,
+        "op11_infill_events": infill.OP11_SQL,
+        "op12_url_rules": urlrules.OP12_SQL,
     }
     return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
