@@ -32,7 +32,9 @@ from sparkloom.session import bounded, drop, stage
 
 #: Bytes of text that one block holds at least, if its task has as many.
 BLOCK_BYTES = 8 << 20
-CHUNK = re.compile(r"(?<=\S) (?=\S)")
+#: Chunks that are encoded as one text.
+UNIT = 1000
+CHUNK, BESIDE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r" (?:(?<=\s )|(?=\s))")
 _READY: dict[tuple[str, str], "Pair"] = {}
 
 
@@ -75,33 +77,80 @@ class Pair:
         pieces = [self.b.id_to_piece(k) for k in range(len(self.b))]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
         self.a_size, self.b_size = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        #: Each id with what may follow it in a group's text.
+        self.marked = [f"{k}{c}" for k in range(len(self.a_bytes)) for c in ",|"] + [f"{k}{c}" for k in range(len(self.b_bytes)) for c in ",;"]
         # A space behind a character that is no white space, inside one token of either side, would make cutting there wrong.
         self.cuts = not any(re.search(r"\S ", x.decode("utf-8", "replace")) for side in (self.a_bytes, self.b_bytes) for x in side)
 
     def chunks(self, text: str) -> list[str]:
-        return CHUNK.split(text) if self.cuts else [text]
-
-    def of(self, chunks: list[str]) -> list[tuple | None]:
-        """For each chunk (n_a, n_b, n_groups, n_products, groups, packed pairs), or None where one side does not give its bytes back."""
-        out: list[tuple | None] = []
-        firsts = [e.ids for e in self.a.encode_batch([" " + c for c in chunks], add_special_tokens=False)]
-        for chunk, x, y in zip(chunks, firsts, self.b.encode(chunks, num_threads=1)):
-            want = (" " + chunk).encode()
-            if b"".join([self.a_bytes[k] for k in x]) != want or b"".join([self.b_bytes[k] for k in y]) != want:
-                out.append(None)
+        if not self.cuts:
+            return [text]
+        return CHUNK.split(text) if text[0] == " " or text[-1] == " " or BESIDE.search(text) else text.split(" ")
+
+    def _encoded(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Both sides' ids of space + text, or None where one does not give its bytes back."""
+        x, y, want = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text), (" " + text).encode()
+        if b"".join([self.a_bytes[k] for k in x]) == want and b"".join([self.b_bytes[k] for k in y]) == want:
+            return np.array(x, np.int64), np.array(y, np.int64)
+        return None
+
+    def table(self, chunks: list[str]) -> "Chunks":
+        """All chunks encoded and aligned at once. Chunks that neither begin nor end with white space are encoded many to a text, which both sides cut at the chunks' borders."""
+        plain = [k for k, c in enumerate(chunks) if self.cuts and c and not (c[0].isspace() or c[-1].isspace())]
+        alone = set(plain)
+        units = [plain[i : i + UNIT] for i in range(0, len(plain), UNIT)] + [[k] for k in range(len(chunks)) if k not in alone]
+        order, a, b, a_n, b_n, bad = [], [], [], [], [], []
+        while units:
+            unit = units.pop()
+            both = self._encoded(" ".join(chunks[k] for k in unit))
+            if both is None:
+                if len(unit) > 1:
+                    units += [unit[: len(unit) // 2], unit[len(unit) // 2 :]]
+                else:
+                    bad += unit
                 continue
-            if len(x) == 1 or len(y) == 1:  # one token on a side: one group, a link for each token of the other
-                pairs = [(i << 32) | j for i in x for j in y]
-                out.append((len(x), len(y), 1, len(pairs), f"{','.join(map(str, x))}|{','.join(map(str, y))}", pairs))
-                continue
-            a, b = np.array(x, np.int64), np.array(y, np.int64)
-            at, bt, last = aligned(np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]))
-            ends = np.flatnonzero(last)
-            ae, be = np.concatenate(([0], at[ends] + 1)).tolist(), np.concatenate(([0], bt[ends] + 1)).tolist()
-            groups = ";".join(f"{','.join(map(str, x[i:j]))}|{','.join(map(str, y[k:m]))}" for i, j, k, m in zip(ae, ae[1:], be, be[1:]))
-            products = sum((j - i) * (m - k) for i, j, k, m in zip(ae, ae[1:], be, be[1:]))
-            out.append((len(x), len(y), len(ends), products, groups, ((a[at] << 32) | b[bt]).tolist()))
-        return out
+            ends = np.cumsum([len(chunks[k].encode()) + 1 for k in unit])
+            for ids, size, all_ids, counts in ((both[0], self.a_size, a, a_n), (both[1], self.b_size, b, b_n)):
+                all_ids.append(ids)
+                counts.append(np.diff(np.searchsorted(np.cumsum(size[ids]), ends, "right"), prepend=0))
+            order += unit
+        flat = lambda x: np.concatenate([np.zeros(0, np.int64), *x])
+        return Chunks(self, np.array(order + bad, np.int64), len(bad), flat(a), flat(a_n), flat(b), flat(b_n))
+
+
+class Chunks:
+    """Aligned chunks, in an order of their own: ``place`` of each as given, whether ``good``, ``sizes`` (n_a, n_b, groups, products), ``names`` of groups, and links as packed pairs from ``link_at``."""
+
+    def __init__(self, pair: Pair, order: np.ndarray, bad: int, a: np.ndarray, a_n: np.ndarray, b: np.ndarray, b_n: np.ndarray):
+        n, m = len(order), len(order) - bad
+        self.place = np.empty(n, np.int64)
+        self.place[order] = np.arange(n)
+        self.good = np.arange(n) < m
+        self.sizes = np.zeros((n, 4), np.int64)
+        self.names, self.link_at, self.pairs = [""] * n, np.zeros(n + 1, np.int64), np.zeros(0, np.int64)
+        if not m:
+            return
+        a_ends, b_ends = np.cumsum(pair.a_size[a]), np.cumsum(pair.b_size[b])
+        at, bt, last = aligned(a_ends, b_ends)
+        closing = np.flatnonzero(last)
+        a_last, b_last = at[closing], bt[closing]
+        in_a, in_b = np.diff(a_last, prepend=-1), np.diff(b_last, prepend=-1)
+        a_of = np.repeat(np.arange(m), a_n)  # the chunk of each token of the first side
+        of = a_of[a_last]
+        count = lambda where, weights=None: np.bincount(where, weights, m).astype(np.int64)
+        self.sizes[:m] = np.stack([a_n, b_n, count(of), count(of, in_a * in_b)], 1)
+        self.pairs = (a[at] << 32) | b[bt]
+        self.link_at[1:] = np.cumsum(np.concatenate([count(a_of[at]), np.zeros(bad, np.int64)]))
+        # Groups as text: a group's ids of one side, then of the other; behind each id stands what follows it.
+        words = np.empty(len(a) + len(b), np.int64)
+        group_a, group_b = np.repeat(np.arange(len(closing)), in_a), np.repeat(np.arange(len(closing)), in_b)
+        ends_a, ends_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        ends_a[a_last], ends_b[b_last] = 1, 1
+        words[np.arange(len(a)) + (b_last + 1 - in_b)[group_a]] = 2 * a + ends_a
+        words[np.arange(len(b)) + (a_last + 1)[group_b]] = 2 * (b + len(pair.a_bytes)) + ends_b
+        text = [pair.marked[k] for k in words.tolist()]
+        starts = np.concatenate(([0], np.cumsum(a_n + b_n))).tolist()
+        self.names[:m] = ["".join(text[i:j]) for i, j in zip(starts, starts[1:])]
 
 
 def _pair(names: tuple[str, str], shared) -> Pair:
@@ -129,23 +178,20 @@ class Block:
         self.size += len(text)
 
     def row(self) -> pa.RecordBatch:
-        table = self.pair.of(list(self.known))
-        good = np.array([t is not None for t in table], bool)
-        sizes = np.array([t[:4] if t else (0, 0, 0, 0) for t in table], np.int64).reshape(-1, 4)
-        names = [t[4] if t else "" for t in table]
-        flat = np.array([p for t in table if t for p in t[5]], np.int64)
-        link_at = np.concatenate(([0], np.cumsum([len(t[5]) if t else 0 for t in table]))).astype(np.int64)
-        pairs, place = np.unique(flat, return_inverse=True)
-        used, words, out = np.zeros(len(table), np.int64), [], [[] for _ in range(6)]
+        table = self.pair.table(list(self.known))
+        words, out = [], [[] for _ in range(6)]
         for doc_id, ids in self.texts:
-            if not len(ids) or not good[ids].all():
+            ids = table.place[ids]
+            if not len(ids) or not table.good[ids].all():
                 ids, sha = ids[:0], ""
             else:
-                sha = hashlib.sha256(";".join([names[k] for k in ids.tolist()]).encode()).hexdigest()
-            used += np.bincount(ids, minlength=len(table))
+                sha = hashlib.sha256("".join([table.names[k] for k in ids.tolist()])[:-1].encode()).hexdigest()
             words.append(np.sort(ids).astype(np.uint32))
-            for column, value in zip(out, (doc_id, *sizes[ids].sum(0).tolist(), sha)):
+            for column, value in zip(out, (doc_id, *table.sizes[ids].sum(0).tolist(), sha)):
                 column.append(value)
+        used = np.bincount(np.concatenate(words), minlength=len(table.place))
+        pairs, place = np.unique(table.pairs, return_inverse=True)
+        link_at = table.link_at
         counts = np.bincount(place, weights=np.repeat(used, np.diff(link_at)), minlength=len(pairs)).astype(np.int64)
         kept = counts > 0  # pairs of chunks that only stand in texts without tokens have no links
         new = np.cumsum(kept) - 1
