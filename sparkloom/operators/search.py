@@ -19,10 +19,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
+from sparkloom.operators import keywords
+from sparkloom.operators.keywords import K1, B, Best
 from sparkloom.operators.ordering import global_position
 from sparkloom.session import stage
 
-K1, B = 1.2, 0.75
 FUSION = 60
 SCORE_THRESHOLD, MMR_LAMBDA = 0.2, 0.6
 TOKEN_BUDGET, SNIPPET_LINES = 1200, 5
@@ -190,52 +191,15 @@ def _bm25_in_blocks(chunks: DataFrame, queries: DataFrame, asked: list, vocabula
                 has = np.flatnonzero(tf.any(axis=0))
                 tf = tf[:, has]
                 tf = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[:, None] / average)) if average else tf
-                best.add(tf @ matrix[has], ids[a : a + ROWS])
+                best.add(tf @ matrix[has], np.array(ids[a : a + ROWS], object))
         q, i, s = best.rows()
-        yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in q], types[0]), pa.array(i, types[1]), pa.array(s, pa.float64())], names=["query_id", "id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in q], types[0]), pa.array(i.tolist(), types[1]), pa.array(s, pa.float64())], names=["query_id", "id", "score"])
 
     types = [pa.string() if f == "string" else pa.int64() if f == "bigint" else pa.int32() for f in (schema.split()[1].rstrip(","), schema.split()[3].rstrip(","))]
     hits = named.mapInArrow(score, schema)
     return top(hits, k, F.round("score", 9).desc(), F.col("id"))
 
 
-class Best:
-    """The best ``k`` rows of each query among blocks of scores: by score to nine digits, then by id. Rows without a score are no hits."""
-
-    def __init__(self, queries: int, k: int):
-        self.k, self.queries = k, queries
-        self.q, self.s, self.i = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
-        self.least = np.zeros(queries)
-
-    def add(self, scores: np.ndarray, ids: list) -> None:
-        rounded = np.round(scores, 9)
-        if len(ids) > self.k:
-            self.least = np.maximum(self.least, np.partition(rounded, len(ids) - self.k, axis=0)[len(ids) - self.k])
-        row, q = np.nonzero((scores > 0) & (rounded >= self.least[None, :]))
-        if not len(row):
-            return
-        self.q, self.s, self.i = np.concatenate((self.q, q)), np.concatenate((self.s, scores[row, q])), np.concatenate((self.i, np.array(ids, object)[row]))
-        if len(self.q) > 4 * self.k * self.queries:
-            self._cut()
-
-    def _cut(self) -> None:
-        rounded = np.round(self.s, 9)
-        place = np.empty(len(self.i), np.int64)
-        place[np.argsort(self.i, kind="stable")] = np.arange(len(self.i))
-        order = np.lexsort((place, -rounded, self.q))
-        q = self.q[order]
-        first = np.searchsorted(q, np.arange(self.queries))
-        rank = np.arange(len(q)) - first[q]
-        full = np.flatnonzero(rank == self.k - 1)
-        self.least[q[full]] = np.maximum(self.least[q[full]], rounded[order][full])
-        keep = order[rank < self.k]
-        self.q, self.s, self.i = self.q[keep], self.s[keep], self.i[keep]
-
-    def rows(self) -> tuple[list, list, list]:
-        self._cut()
-        return self.q.tolist(), self.i.tolist(), self.s.tolist()
-
-
 def bm25_of_postings(index: DataFrame, corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """As ``bm25``, from postings (id, term, tf, length) and one row with n and mean_length. Stored in the order of terms, few of an index's row groups are read for a query."""
     terms = queries.select("query_id", F.explode(X.tokens(F.coalesce("query", F.lit("")))).alias("term"))
@@ -330,25 +294,30 @@ def _finish(hits: DataFrame, chunks: DataFrame, limit: int, weight: float, budge
     return fill_budget(picked.join(cards, ["query_id", "id"]), budget, lines)
 
 
-def search_context(chunks: DataFrame, queries: DataFrame, limit: int = 10, module: str | None = None, faithful: bool = True) -> DataFrame:
+def keyword_leg(chunks: DataFrame, queries: DataFrame, k: int, module: str | None = None, index: keywords.Index | None = None) -> DataFrame:
+    """BM25 from the stored index of ``chunks`` where there is one; within a module by a scan of it, for its own counts decide there."""
+    return keywords.search(index, queries, k) if index is not None and module is None else bm25(of_module(chunks, module), queries, k)
+
+
+def search_context(chunks: DataFrame, queries: DataFrame, limit: int = 10, module: str | None = None, faithful: bool = True, index: keywords.Index | None = None) -> DataFrame:
     """Hybrid search with threshold, diversity and budget. Queries need query_id, query and query_vector. ``module`` filters; it is off by default.
     Chunks without a vector are found by their words alone."""
-    k, chunks = fan_out(limit), of_module(chunks, module)
-    legs = hybrid(vector_search(chunks, queries, k), bm25(chunks, queries, k), k, faithful)
+    k = fan_out(limit)
+    words, chunks = keyword_leg(chunks, queries, k, module, index), of_module(chunks, module)
+    legs = hybrid(vector_search(chunks, queries, k), words, k, faithful)
     return _finish(legs, chunks, limit, MMR_LAMBDA, TOKEN_BUDGET, SNIPPET_LINES)
 
 
-def search_context_degraded(chunks: DataFrame, queries: DataFrame, limit: int = 10, module: str | None = None) -> DataFrame:
+def search_context_degraded(chunks: DataFrame, queries: DataFrame, limit: int = 10, module: str | None = None, index: keywords.Index | None = None) -> DataFrame:
     """Without vectors: BM25 on the expanded query, then threshold (on the raw score), diversity and budget; flagged."""
-    chunks = of_module(chunks, module)
     expanded = expand_queries(queries).select("query_id", F.col("expanded").alias("query"))
-    out = _finish(bm25(chunks, expanded, fan_out(limit)), chunks, limit, MMR_LAMBDA, TOKEN_BUDGET, SNIPPET_LINES)
+    out = _finish(keyword_leg(chunks, expanded, fan_out(limit), module, index), of_module(chunks, module), limit, MMR_LAMBDA, TOKEN_BUDGET, SNIPPET_LINES)
     return out.withColumn("degraded", F.lit(True)).withColumn("mode", F.lit("lexical"))
 
 
-def search_code(chunks: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
+def search_code(chunks: DataFrame, queries: DataFrame, limit: int = 10, index: keywords.Index | None = None) -> DataFrame:
     """BM25 on the query as it is; whole content, no threshold."""
-    return bm25(chunks, queries, search_limit(limit)).join(chunks.select("id", "source", "content"), "id")
+    return keyword_leg(chunks, queries, search_limit(limit), None, index).join(chunks.select("id", "source", "content"), "id")
 
 
 #: Abbreviations and what they stand for; each pair works both ways.
