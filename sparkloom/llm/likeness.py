@@ -7,6 +7,7 @@ most of the rest and the full sets decide. Words are lowered as in the fingerpri
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,13 +81,17 @@ def links(rows: DataFrame, texts: DataFrame, star: int | None) -> DataFrame:
 
     With ``star``, each token's texts meet only one of them (another for each star), which joins a crowd without its pairs."""
     cells = F.struct("t", "n", "at", "fp", "_root")
+    on = ["token"]
     if star is None:
-        other, apart = rows.select("token", cells.alias("o")), F.col("_root") < F.col("o._root")
+        # Alike sets differ in size by a fifth at most, that is by one class; a common token's texts meet those of their own and the neighbouring classes only.
+        size = F.floor(F.log("n") / F.lit(-math.log(0.8))).cast("int")
+        rows, on = rows.withColumn("_size", size), ["token", "_size"]
+        other, apart = rows.select("token", F.explode(F.array(F.col("_size") - 1, F.col("_size"), F.col("_size") + 1)).alias("_size"), cells.alias("o")), F.col("_root") < F.col("o._root")
     else:
         other, apart = rows.groupBy("token").agg(F.min_by(cells, F.xxhash64("t", F.lit(star))).alias("o")), F.col("_root") != F.col("o._root")
     rest = F.least(F.col("n") - F.col("at"), F.col("o.n") - F.col("o.at"))
     near = (9 * rest >= 4 * (F.col("n") + F.col("o.n"))) & (5 * F.least("n", "o.n") >= 4 * F.greatest("n", "o.n"))
-    pairs = stage(rows.join(other, "token").filter(apart & near).select("t", "fp", F.col("o.t").alias("u"), F.col("o.fp").alias("g")).distinct(), "candidates")
+    pairs = stage(rows.join(other, on).filter(apart & near).select("t", "fp", F.col("o.t").alias("u"), F.col("o.fp").alias("g")).distinct(), "candidates")
     needed = pairs.select("t").unionByName(pairs.select(F.col("u").alias("t"))).distinct()
     used = stage(texts.join(needed, "t", "left_semi").dropDuplicates(["t"]), "compared")
     x, y = used.select("t", F.col("text").alias("x")), used.select(F.col("t").alias("u"), F.col("text").alias("y"))
