@@ -83,8 +83,8 @@ def links(rows: DataFrame, texts: DataFrame, star: int | None) -> DataFrame:
     cells = F.struct("t", "n", "at", "fp", "_root")
     on = ["token"]
     if star is None:
-        # Alike sets differ in size by a fifth at most, that is by one class; a common token's texts meet those of their own and the neighbouring classes only.
-        size = F.floor(F.log("n") / F.lit(-math.log(0.8))).cast("int")
+        # Alike sets differ in size by a fifth at most, that is by less than one class; a common token's texts meet those of their own and the neighbouring classes only.
+        size = F.floor(F.log("n") / F.lit(-math.log(0.79))).cast("int")
         rows, on = rows.withColumn("_size", size), ["token", "_size"]
         other, apart = rows.select("token", F.explode(F.array(F.col("_size") - 1, F.col("_size"), F.col("_size") + 1)).alias("_size"), cells.alias("o")), F.col("_root") < F.col("o._root")
     else:
