@@ -49,16 +49,18 @@ LANGUAGES: dict[str, Language] = {
     "c": _C,
     "cpp": Language("static inline extern const constexpr virtual explicit friend", {"class": "class", "struct": "struct", "union": "struct", "enum": "enum", "namespace": "class", "typedef": "type", "template": "type"}, typed=True, hash_defines=True, quotes="\"'"),
     "c_sharp": Language("public protected private internal static sealed abstract partial readonly async override virtual extern unsafe new", {"class": "class", "interface": "interface", "enum": "enum", "struct": "struct", "record": "class", "namespace": "class", "delegate": "type"}, typed=True, quotes="\"'"),
-    "ruby": Language("private protected public", {"def": "function", "class": "class", "module": "class"}, hash_comments=True, quotes="\"'", indented=True),
+    "ruby": Language("private protected public", {"def": "function", "class": "class", "module": "type"}, hash_comments=True, quotes="\"'", indented=True),
     "php": Language("public protected private static abstract final readonly", {"function": "function", "class": "class", "interface": "interface", "trait": "trait", "enum": "enum"}, hash_comments=True, quotes="\"'"),
     "swift": Language("public private internal open fileprivate package final static override mutating nonmutating async nonisolated indirect required convenience", {"func": "function", "class": "class", "struct": "struct", "protocol": "interface", "enum": "enum", "extension": "class", "actor": "class", "typealias": "type"}, quotes='"'),
     "kotlin": _KOTLIN,
     "scala": Language("private protected final sealed abstract implicit lazy override case inline", {"def": "function", "class": "class", "object": "class", "trait": "trait", "type": "type"}, quotes='"'),
-    "dart": Language("abstract base final interface mixin sealed static external const late", {"class": "class", "enum": "enum", "mixin": "class", "extension": "class", "typedef": "type"}, typed=True, quotes="\"'", calls=False),
+    "dart": Language("abstract base final interface mixin sealed static external const late", {"class": "class", "enum": "enum", "mixin": "trait", "extension": "class", "typedef": "type"}, typed=True, quotes="\"'", calls=False),
 }
 #: Words before a parenthesis that call nothing.
-CONTROL = set("if else for foreach while do switch case catch return throw try finally with synchronized using lock when match guard until unless elsif elseif in of is as not and or new await yield sizeof typeof super this function fun func fn def static_assert defined loop select go defer where repeat fixed checked assert del print".split()) - {"print", "assert"}
+CONTROL = set("if else for foreach while do switch case catch return throw try finally with synchronized using lock when match guard until unless elsif elseif in of is as not and or new await yield sizeof typeof super this function fun func fn def static_assert defined loop select go defer where repeat fixed checked del".split())
 CLASSES = {"class", "interface", "struct", "trait", "impl", "enum"}
+#: Beside these, what may hold methods in a language whose modules count as types.
+MODULES = {"type"}
 
 
 @functools.cache
@@ -138,8 +140,8 @@ class Source:
     def line(self, at: int) -> int:
         return bisect_right(self.lines, at)
 
-    def body(self, at: int) -> tuple[int, int] | None:
-        """(place of what opens the body, end) of what is declared before ``at``: a brace that matches, else the end of the statement or line."""
+    def body(self, at: int) -> tuple[int, int]:
+        """(place of what opens the body, end) of what is declared before ``at``: a brace that matches, else the end of the statement, of the line or of what is around."""
         k = at
         while k < len(self.text):
             c = self.text[k]
@@ -148,7 +150,7 @@ class Source:
             elif c == "{":
                 return k, self.match.get(k, len(self.text) - 1) + 1
             elif c in ";}" or (c == "\n" and self._ends(k)):
-                return None if c == "}" else (k, k + (c == ";"))
+                return k, k + (c == ";")
             else:
                 k += 1
         return k, k
@@ -172,8 +174,10 @@ def _named(src: Source, m: re.Match) -> tuple[str, str, int] | None:
     }.get(src.lang, r"\s*\*?\s*&?")
     name = r"(?:self\.)?" + NAME + r"[?!]?" if src.lang == "ruby" else NAME
     found = re.match(rf"(?:{skip}){'' if src.lang != 'rust' else '&?'}({name})", rest) or re.match(rf"\s+({name})", rest)
-    if not found or found[1] in CONTROL - {"print"}:
+    if not found or found[1] in CONTROL:
         return None
+    if src.lang == "go" and word == "func" and re.match(r"\s*\(", rest):
+        kind = "receiver"
     if src.lang == "go" and word == "type":
         follow = re.match(r"(?:\[[^\]]*\])?\s*(struct|interface)\b", rest[found.end() :])
         kind = follow[1] if follow else "type"
@@ -200,9 +204,7 @@ def declarations(content: str, lang: str) -> list[tuple[str, str, int, int, int,
             if src.language.indented:
                 found.append((name, kind, begin, _dedent(src, m.start())))
                 continue
-            if (body := src.body(behind)) is None:
-                continue
-            found.append((name, kind, begin, body[1]))
+            found.append((name, kind, begin, src.body(behind)[1]))
             continue
         typed = m["typed"] if src.language.typed else None
         name = typed or m["member"]
@@ -231,9 +233,10 @@ def declarations(content: str, lang: str) -> list[tuple[str, str, int, int, int,
         while around and around[-1][3] <= a:
             around.pop()
         inside = around[-1][1] if around else None
-        if kind == "method" and inside not in CLASSES:
+        if kind == "method" and inside not in CLASSES | MODULES:
             continue
-        if kind == "function" and inside in CLASSES and lang != "python":
+        kind = "method" if kind == "receiver" else kind
+        if kind == "function" and inside in CLASSES | (MODULES if lang == "ruby" else set()) and lang != "python":
             kind = "method"
         out.append((name, kind, a, b, src.line(a), src.line(max(a, b - 1)), len(around)))
         around.append((name, kind, a, b))

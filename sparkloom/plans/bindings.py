@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators import keywords
+from sparkloom.session import shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -84,6 +89,19 @@ def chunk_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def keyword_index(spark: SparkSession, sf_dir: str) -> keywords.Index:
+    """The stored keyword index of the table, built by the first query of a session that needs it and read by all."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        folder = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        keywords.build(chunk_cards(spark, sf_dir), folder)
+        _INDEXES[key] = folder
+    return keywords.read(spark, _INDEXES[key])
+
+
 def keyword_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
-from sparkloom.operators import search
+from sparkloom.operators import keywords, quantised, search
 from sparkloom.plans import bindings as B
 from sparkloom.plans.registry import query
 
@@ -39,12 +39,12 @@ def corpus_stats(spark, d):
 
 @query("bm25_topk", f"WITH {_bm25(10, _BENCH)} SELECT query_id, id, round(score, 6) AS score, rank FROM bm")
 def bm25_topk(spark, d):
-    return search.bm25(B.chunk_cards(spark, d), B.keyword_queries(spark, d), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return keywords.search(B.keyword_index(spark, d), B.keyword_queries(spark, d), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("search_code", f"WITH {_bm25(10, _BENCH)} SELECT query_id, bm.id, rank, source || '/' || doc_id || '.md' AS source, text AS content FROM bm JOIN documents ON doc_id::VARCHAR = bm.id")
 def search_code(spark, d):
-    return search.search_code(B.chunk_cards(spark, d), B.keyword_queries(spark, d)).select("query_id", "id", "rank", "source", "content")
+    return search.search_code(B.chunk_cards(spark, d), B.keyword_queries(spark, d), index=B.keyword_index(spark, d)).select("query_id", "id", "rank", "source", "content")
 
 
 _VEC = """vq AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0),
@@ -67,6 +67,15 @@ def vector_cells(spark, d):
     return hits.select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
 
 
+@query("vector_codes")
+def vector_codes(spark, d):
+    """Product-quantised codes: every vector encoded, every vector whose id is divisible by 20 asked, 200 full vectors read for each."""
+    rows = B.vectors(spark, d)
+    book = quantised.fit(rows)
+    hits = quantised.search(quantised.encode(rows, book), rows, book, B.vector_queries(spark, d), 10)
+    return hits.select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
 @query("score_threshold", f"WITH {_VEC.format(k=30)} SELECT query_id, id, round(score, 6) AS score FROM vec WHERE score >= 0.35")
 def score_threshold(spark, d):
     hits = search.vector_search(B.vectors(spark, d), B.vector_queries(spark, d), 30)
@@ -91,7 +100,7 @@ SELECT query_id, id, rank, round(fused, 9) AS fused, round(1 / (1 + coalesce(dis
 def rrf_hybrid(spark, d):
     q = _hybrid_inputs(spark, d)
     v = search.vector_search(B.vectors(spark, d), q, 20)
-    t = search.bm25(B.chunk_cards(spark, d), q.filter("query is not null"), 20)
+    t = keywords.search(B.keyword_index(spark, d), q.filter("query is not null"), 20)
     return search.hybrid(v, t, 20).select("query_id", "id", "rank", F.round("fused", 9).alias("fused"), F.round("score", 6).alias("score"))
 
 
@@ -139,7 +148,7 @@ _POOL = f"pool AS MATERIALIZED (SELECT query_id, bm.id, score, rank, list_distin
 @query("mmr_rerank", f"WITH RECURSIVE {_bm25(30, _BENCH)}, {_POOL}, {_mmr('pool', 10)} SELECT query_id, id, round(score, 6) AS score, pick FROM picked")
 def mmr_rerank(spark, d):
     cards = B.chunk_cards(spark, d)
-    pool = search.bm25(cards, B.keyword_queries(spark, d), 30).join(cards.select("id", "content"), "id")
+    pool = keywords.search(B.keyword_index(spark, d), B.keyword_queries(spark, d), 30).join(cards.select("id", "content"), "id")
     return search.diversify(pool, 10).select("query_id", "id", F.round("score", 6).alias("score"), "pick")
 
 
@@ -156,7 +165,7 @@ SELECT query_id, id AS chunk_id, rank AS pick, snippet, cost FROM f JOIN c USING
 @query("budget_fill", _FILL)
 def budget_fill(spark, d):
     cards = B.chunk_cards(spark, d)
-    hits = search.bm25(cards, B.keyword_queries(spark, d), 10).join(cards, "id").withColumn("pick", F.col("rank").cast("long"))
+    hits = keywords.search(B.keyword_index(spark, d), B.keyword_queries(spark, d), 10).join(cards, "id").withColumn("pick", F.col("rank").cast("long"))
     return search.fill_budget(hits, 300).select("query_id", "chunk_id", "pick", "snippet", "cost")
 
 
@@ -164,7 +173,7 @@ def budget_fill(spark, d):
 def search_context(spark, d):
     cards = B.chunk_cards(spark, d)
     both = cards.join(B.vectors(spark, d).select("id", "vector"), "id", "left")
-    return search.search_context(both, _hybrid_inputs(spark, d).filter("query is not null"))
+    return search.search_context(both, _hybrid_inputs(spark, d).filter("query is not null"), index=B.keyword_index(spark, d))
 
 
 # Expansion, keyword search, threshold, diversity and budget, each in SQL as above.
@@ -180,7 +189,7 @@ SELECT query_id, pick, id AS chunk_id, source, '' AS symbol, signature, snippet,
 
 @query("search_context_degraded", _DEGRADED)
 def search_context_degraded(spark, d):
-    return search.search_context_degraded(B.chunk_cards(spark, d), B.keyword_queries(spark, d))
+    return search.search_context_degraded(B.chunk_cards(spark, d), B.keyword_queries(spark, d), index=B.keyword_index(spark, d))
 
 
 @query("expand_context", "SELECT doc_id::VARCHAR AS id, source || '/' || doc_id || '.md' AS source, text AS content FROM documents WHERE doc_id = 7")

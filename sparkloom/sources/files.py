@@ -228,30 +228,36 @@ def _contents(found: DataFrame, pdf: Callable | None) -> DataFrame:
     return both.select("path", "content", X.content_hash(F.col("content")).alias("hash"), "mtime")
 
 
-#: Manifest file, language, and (text in it, framework) or, for package.json, (dependency, framework).
+#: Manifest file, language, and (word, framework) pairs. In package.json a word is the name of a dependency, elsewhere it stands anywhere in the text.
 STACK = [
-    ("package.json", "JavaScript", [("react", "React"), ("vue", "Vue"), ("next", "Next.js"), ("nuxt", "Nuxt"), ("svelte", "Svelte"), ("express", "Express"), ("fastify", "Fastify"), ("hono", "Hono"), ("astro", "Astro"), ("elysia", "Elysia"), ("react-native", "React Native"), ("expo", "Expo"), ("@angular/core", "Angular"), ("@nestjs/core", "NestJS"), ("@sveltejs/kit", "SvelteKit"), ("solid-js", "SolidJS")]),
+    ("package.json", "JavaScript", [("react", "React"), ("vue", "Vue"), ("next", "Next.js"), ("nuxt", "Nuxt"), ("svelte", "Svelte"), ("@sveltejs/kit", "SvelteKit"), ("express", "Express"), ("fastify", "Fastify"), ("hono", "Hono"), ("@nestjs/core", "NestJS"), ("@remix-run/node", "Remix"), ("@remix-run/react", "Remix"), ("@tanstack/react-router", "TanStack Router"), ("astro", "Astro"), ("elysia", "Elysia"), ("react-native", "React Native"), ("expo", "Expo"), ("@angular/core", "Angular"), ("solid", "SolidJS"), ("solid-js", "SolidJS")]),
     ("go.mod", "Go", [("gin-gonic/gin", "Gin"), ("labstack/echo", "Echo"), ("gofiber/fiber", "Fiber"), ("go-chi/chi", "Chi")]),
     ("Cargo.toml", "Rust", [("actix-web", "Actix"), ("axum", "Axum"), ("rocket", "Rocket"), ("tauri", "Tauri")]),
     ("pyproject.toml", "Python", [("fastapi", "FastAPI"), ("django", "Django"), ("flask", "Flask"), ("sqlalchemy", "SQLAlchemy")]),
     ("requirements.txt", "Python", [("fastapi", "FastAPI"), ("django", "Django"), ("flask", "Flask")]),
+    ("build.gradle.kts", "Kotlin", [("multiplatform", "Kotlin Multiplatform"), ("compose", "Jetpack Compose"), ("ktor", "Ktor"), ("spring-boot", "Spring Boot"), ("org.springframework", "Spring Boot"), ("android", "Android")]),
+    ("build.gradle", "Kotlin", [("multiplatform", "Kotlin Multiplatform"), ("compose", "Jetpack Compose"), ("ktor", "Ktor"), ("spring-boot", "Spring Boot"), ("springframework", "Spring Boot"), ("android", "Android")]),
     ("pom.xml", "Java", [("spring-boot", "Spring Boot"), ("quarkus", "Quarkus"), ("micronaut", "Micronaut")]),
-    ("build.gradle.kts", "Kotlin", [("multiplatform", "Kotlin Multiplatform"), ("compose", "Jetpack Compose"), ("ktor", "Ktor"), ("spring-boot", "Spring Boot"), ("android", "Android")]),
     ("Package.swift", "Swift", [("vapor", "Vapor"), ("hummingbird", "Hummingbird")]),
+    ("pubspec.yaml", "Dart", [("flutter", "Flutter")]),
+    ("Gemfile", "Ruby", [("rails", "Rails"), ("sinatra", "Sinatra")]),
+    ("composer.json", "PHP", [("laravel", "Laravel"), ("symfony", "Symfony")]),
+    ("mix.exs", "Elixir", [("phoenix", "Phoenix")]),
 ]
 
 
-def detect_stack(files: DataFrame) -> DataFrame:
-    """One row: languages and frameworks told by manifest files (path, content)."""
+def detect_stack(files: DataFrame, *by: str) -> DataFrame:
+    """One row (one for each value of the columns ``by``): languages and frameworks told by manifest files (path, content). A package.json that is no JSON object tells its language only; a dependency with an empty version counts for nothing."""
     spark = files.sparkSession
     rules = spark.createDataFrame([(f, lang, probe, name) for f, lang, probes in STACK for probe, name in [*probes, (None, None)]], "_file string, language string, _probe string, framework string")
     named = files.withColumn("_name", X.basename(F.col("path")))
     hits = named.join(F.broadcast(rules), F.col("_name") == F.col("_file"))
-    dependency = F.col("content").rlike(r'"(?:dependencies|devDependencies)"') & F.contains(F.col("content"), F.concat(F.lit('"'), F.col("_probe"), F.lit('"')))
+    read = F.from_json("content", "dependencies map<string,string>, devDependencies map<string,string>")
+    version = F.coalesce(F.try_element_at(read["devDependencies"], F.col("_probe")), F.try_element_at(read["dependencies"], F.col("_probe")))
     plain = F.contains(F.when(F.col("_file") == "requirements.txt", F.lower("content")).otherwise(F.col("content")), F.col("_probe"))
-    found = hits.filter(F.col("_probe").isNull() | F.when(F.col("_file") == "package.json", dependency).otherwise(plain))
-    sets = found.agg(F.collect_set("language").alias("languages"), F.collect_set("framework").alias("frameworks"))
-    return sets.select(F.sort_array("languages").alias("languages"), F.sort_array("frameworks").alias("frameworks"))
+    found = hits.filter(F.col("_probe").isNull() | F.when(F.col("_file") == "package.json", F.coalesce(version != "", F.lit(False))).otherwise(plain))
+    sets = found.groupBy(*by).agg(F.collect_set("language").alias("languages"), F.collect_set("framework").alias("frameworks"))
+    return sets.select(*by, F.sort_array("languages").alias("languages"), F.sort_array("frameworks").alias("frameworks"))
 
 
 def modules(files: DataFrame) -> DataFrame:
