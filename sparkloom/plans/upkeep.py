@@ -9,7 +9,7 @@ from sparkloom.operators import chunking, manifest
 from sparkloom.plans import bindings as B
 from sparkloom.plans.registry import query
 from sparkloom.sources import files as S
-from sparkloom.streaming import watch
+from sparkloom.streaming import folder, watch
 
 
 @query("scan_documents", f"WITH {B.DOCS} SELECT path, module, sha256(content) AS content_hash, sha256(path) || '-0' AS id, len(string_split(content, chr(10)))::INT AS lines FROM docs")
@@ -256,3 +256,16 @@ def symbols_and_calls(spark, d):
 def page_prose(spark, d):
     strip = F.regexp_replace(F.regexp_replace("html", r"(?s)<(script|style)[^>]*>.*?</(script|style)>", " "), r"(?s)<[^>]*>", " ")
     return B.table(spark, d, "pages").select("page_id", F.trim(F.regexp_replace(strip, r"\s+", " ")).alias("text"))
+
+
+@query(
+    "folder_changes",
+    f"""WITH {B.FILES}, a AS (SELECT path, length(content) AS size, mtime FROM cur), b AS (SELECT path, length(content) AS size, mtime FROM prior)
+SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'add' WHEN a.path IS NULL THEN 'unlink' ELSE 'change' END AS event
+FROM a FULL JOIN b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.size IS DISTINCT FROM b.size OR a.mtime IS DISTINCT FROM b.mtime""",
+)
+def folder_changes(spark, d):
+    """What a watched folder hands on between two listings of its files."""
+    prior, now = B.files(spark, d)
+    listed = lambda df: df.select("path", F.length("content").cast("long").alias("size"), "mtime")
+    return folder.moved(listed(now), listed(prior))
