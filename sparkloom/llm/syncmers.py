@@ -2,9 +2,10 @@
 
 A run of ``K`` code points is selected if its least inner run of ``S`` code points lies at one of its two edges. Whether it is depends on
 nothing outside the run, so a text keeps its anchors wherever it is copied to, and anchors of two texts can be matched with their places.
-The fingerprint is the ``KEEP`` least distinct anchor hashes (32 bits each, in hexadecimal, ascending); the likeness of two
-fingerprints is the share of common values among the least ``KEEP`` of their union, an estimate of the Jaccard likeness of the anchor
-sets, exact where both have fewer.
+The fingerprint is the distinct anchor hashes (32 bits each, in hexadecimal, ascending) below ``LINE``, about one in sixteen whatever the text's length, and the ``KEEP`` least ones
+where fewer lie there: it grows with the text, so that a passage that two long texts share shows in both. Each fingerprint is complete up to its own line; the likeness of two is the
+share of common values of all values up to the lower line, an estimate of the Jaccard likeness of the anchor sets, exact where both have fewer than ``KEEP``.
+Anchors also tell where a text stands in another: each common anchor, at its first place in both, votes for the distance between the two places.
 
 Defined cases: a null text is empty; an empty text has an empty fingerprint, like any other empty one; a text without any selected run (a
 short one) has one anchor, the hash of the whole text; rows with equal doc_id follow each other in the order of their texts; a null doc_id
@@ -29,6 +30,8 @@ from sparkloom.llm.flattext import U, mix, rolling, sliding_min
 from sparkloom.session import bounded, width
 
 K, S, KEEP = 16, 8, 64
+#: Hashes below are in every fingerprint.
+LINE = 1 << 28
 #: Code points of a text that tell rows of one doc_id apart when documents are put in order.
 BEGINS = 24
 SEED = U(0x27D4EB2F165667C5)
@@ -65,17 +68,42 @@ def syncmers(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def sketches(texts: list[str]) -> list[np.ndarray]:
     """The fingerprint of each text as ascending 32-bit numbers."""
     row, _, h = syncmers(texts)
+    return _least(row, h, len(texts))
+
+
+def _least(row: np.ndarray, h: np.ndarray, n: int) -> list[np.ndarray]:
     both = np.unique((row.astype(U) << U(32)) | (h >> U(32)))
-    ends = np.searchsorted(both >> U(32), np.arange(len(texts) + 1, dtype=U))
+    rows = np.arange(n, dtype=U) << U(32)
+    starts, lines = np.searchsorted(both, rows), np.searchsorted(both, rows | U(LINE))
+    ends = np.append(starts[1:], len(both))
     low = (both & U(0xFFFFFFFF)).astype(">u4")
-    return [low[a : min(b, a + KEEP)] for a, b in zip(ends[:-1], ends[1:])]
+    return [low[a : max(m, min(b, a + KEEP))] for a, m, b in zip(starts, lines, ends)]
+
+
+def line(a: np.ndarray) -> int:
+    """Up to where (exclusive) a fingerprint is complete."""
+    return 1 << 32 if len(a) < KEEP else max(LINE, int(a[-1]) + 1)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     if not len(a) and not len(b):
         return 1.0
-    union, counts = np.unique(np.concatenate((a, b)), return_counts=True)
-    return float((counts[:KEEP] == 2).sum() / len(union[:KEEP]))
+    # Ascending, so the values below the lower line are a beginning of each.
+    to = min(line(a), line(b))
+    a, b = a[: np.searchsorted(a, to)], b[: np.searchsorted(b, to)]
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def alignment(place: np.ndarray, h: np.ndarray, other_place: np.ndarray, other_h: np.ndarray) -> tuple[int | None, int]:
+    """How far the other text's anchors stand behind this one's, by the most votes (ties: the least distance, then the smaller), and the votes. Anchors come in order of place."""
+    (mine, i), (theirs, j) = np.unique(h, return_index=True), np.unique(other_h, return_index=True)
+    _, a, b = np.intersect1d(mine, theirs, assume_unique=True, return_indices=True)
+    if not len(a):
+        return None, 0
+    shift, votes = np.unique(other_place[j[b]] - place[i[a]], return_counts=True)
+    best = np.lexsort((shift, np.abs(shift), -votes))[0]
+    return int(shift[best]), int(votes[best])
 
 
 def edited(text: str, following: str) -> str:
@@ -87,13 +115,17 @@ def edited(text: str, following: str) -> str:
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by bucket and order; the last row of each bucket is only there to follow."""
     held: tuple | None = None
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edited_shift", "edited_votes"]
 
     def out(rows: list[tuple], nexts: list[str]) -> pa.RecordBatch:
         texts = [r[2] for r in rows]
         changed = [edited(a, b) for a, b in zip(texts, nexts)]
-        own, other = sketches([*texts, nexts[-1]]), sketches(changed)
-        own, then = own[:-1], own[1:]
+        row, place, h = syncmers([*texts, nexts[-1], *changed])
+        all_ = _least(row, h, 2 * len(texts) + 1)
+        own, then, other = all_[: len(texts)], all_[1 : len(texts) + 1], all_[len(texts) + 1 :]
+        ends = np.searchsorted(row, np.arange(2 * len(texts) + 2))
+        each = [(place[a:b], h[a:b]) for a, b in zip(ends, ends[1:])]
+        moved = [alignment(*a, *b) for a, b in zip(each, each[len(texts) + 1 :])]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([r[1] for r in rows], pa.int64()),
@@ -103,6 +135,8 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([x.tobytes().hex() for x in other]),
                 pa.array([likeness(a, b) for a, b in zip(own, other)], pa.float64()),
                 pa.array([likeness(a, b) for a, b in zip(own, then)], pa.float64()),
+                pa.array([m for m, _ in moved], pa.int64()),
+                pa.array([v for _, v in moved], pa.int64()),
             ],
             names=names,
         )
@@ -139,7 +173,7 @@ def _bucket(starts: list[str]) -> Column:
 
 
 def compared(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Every document beside its edited text and the next document, descending doc_id, then by text.
+    """Every document beside its edited text and the next document, descending doc_id, then by text; ``edited_shift`` and ``edited_votes`` tell where its anchors went in the edited text.
 
     Texts move once: ranges of (doc_id, how the text begins) become buckets, their first keys, one per range, are read by the driver,
     and the first document of the next range is added to each bucket as a follower, so that no order over all rows is needed.
@@ -152,7 +186,7 @@ def compared(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     key = F.concat(F.coalesce(digits, F.lit("G")), F.hex(F.substring(text, 1, BEGINS))).alias("_key")
     ranges = docs.select(key).repartitionByRange(buckets or 4 * width(spark), "_key").groupBy(F.spark_partition_id().alias("_p"))
     starts = sorted(r["a"] for r in ranges.agg(F.min("_key").alias("a")).select("a").collect())
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_shift long, edited_votes long"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key, text.alias("text"))
     if not starts:
         return texts.select("doc_id", "text").mapInArrow(lambda batches: iter(()), schema)
