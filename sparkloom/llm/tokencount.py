@@ -10,7 +10,7 @@ of one run or the runs of one file.
 
 Defined cases: a null or empty text has no tokens; an unclosed end of a file is a document of its own, if not empty; an empty file has
 no documents; separators that follow each other close empty documents; repeated rows are documents of their own; an empty table
-stays empty; columns besides doc_id and text are not read.
+stays empty; columns besides doc_id and text are not read; a null doc_id stays null; a text, and a file, of any length is scanned whole, over as many blocks as it takes.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.session import bounded, drop, stage
+from sparkloom.session import width as parts
 
 RUN = 1024
-#: Ids of a block at most; a block of 16-bit ids then has half a megabyte.
+#: Ids of a block at most; a block of 16-bit ids then has half a megabyte, one of 32-bit ids a whole.
 BLOCK_IDS = 1 << 18
 BLOCKS = "file string, block long, payload binary"
 
@@ -46,19 +48,33 @@ def _encoder(path: str, lines: list[bytes]):
         import tiktoken
 
         pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _ENCODERS[path] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        _ENCODERS[path] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=_ranks(lines), special_tokens={})
     return _ENCODERS[path]
 
 
+def _ranks(lines: list[bytes]) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+
+
+def end_of(lines: list[bytes]) -> int:
+    """The end-of-document id: the first behind all ids of the vocabulary."""
+    return max((int(line.split()[1]) for line in lines), default=-1) + 1
+
+
+def id_width(end: int) -> int:
+    """Bytes of an id: two where the vocabulary and its end-of-document id fit into them."""
+    return 2 if end < 1 << 16 else 4
+
+
 def token_blocks(docs: DataFrame, path: str | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Flat token files from documents, one file per task, cut into blocks: file, block, payload (16-bit little-endian ids) and
+    """Flat token files from documents, one file per task, cut into blocks: file, block, payload (little-endian ids of ``id_width`` bytes) and
     the doc_ids of the documents closed in the block, in order, which name documents but do not tell where they are."""
     spark = docs.sparkSession
     path = path or ranks_path()
     with open(path, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read().splitlines())
-    end = len(shared.value)
+    end = end_of(shared.value)
+    kind = f"<u{id_width(end)}"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, shared.value)
@@ -67,13 +83,13 @@ def token_blocks(docs: DataFrame, path: str | None = None, block_ids: int = BLOC
 
         def made(n: int) -> Iterator[pa.RecordBatch]:
             nonlocal held, size, block, closed
-            flat = np.concatenate(held) if held else np.zeros(0, np.uint16)
+            flat = np.concatenate(held) if held else np.zeros(0, kind)
             a = 0
             while size - a >= n and size > a:
                 part = flat[a : a + n]
                 here = [d for at, d in closed if a <= at < a + len(part)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name]), pa.array([block], pa.int64()), pa.array([part.astype("<u2").tobytes()], pa.binary()), pa.array([here], pa.list_(pa.int64()))],
+                    [pa.array([name]), pa.array([block], pa.int64()), pa.array([part.astype(kind).tobytes()], pa.binary()), pa.array([here], pa.list_(pa.int64()))],
                     names=["file", "block", "payload", "doc_ids"],
                 )
                 block += 1
@@ -83,7 +99,7 @@ def token_blocks(docs: DataFrame, path: str | None = None, block_ids: int = BLOC
 
         for batch in batches:
             for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = np.array([*encoder.encode_ordinary(t or ""), end], np.uint16)
+                ids = np.array([*encoder.encode_ordinary(t or ""), end], kind)
                 held.append(ids)
                 size += len(ids)
                 closed.append((size - 1, d))
@@ -98,18 +114,25 @@ def token_blocks(docs: DataFrame, path: str | None = None, block_ids: int = BLOC
 
 
 def flat_blocks(spark: SparkSession, paths: str | list[str], width: int = 2, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Blocks of flat binary token files (of up to 2 GB each, the limit of one binary value)."""
+    """Blocks of flat binary token files of any size. Only names and lengths are listed; each task reads the bytes of its own blocks, by the file system that pyarrow knows for the path."""
+    step = width * block_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        name, file = None, None
         for batch in batches:
-            for name, data in zip(batch.column("path").to_pylist(), batch.column("content")):
-                raw = memoryview(data.as_buffer())
-                for k, a in enumerate(range(0, len(raw), width * block_ids)):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name]), pa.array([k], pa.int64()), pa.array([bytes(raw[a : a + width * block_ids])], pa.binary())], names=["file", "block", "payload"]
-                    )
+            for path, k in zip(batch.column("path").to_pylist(), batch.column("block").to_pylist()):
+                if path != name:
+                    files, at = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+                    name, file = path, files.open_input_file(at)
+                file.seek(k * step)
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([k], pa.int64()), pa.array([file.read(step)], pa.binary())], names=["file", "block", "payload"])
 
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(bounded(cut, 1, 1 << 20), BLOCKS)
+    listed = spark.read.format("binaryFile").load(paths).filter("length > 0").select("path", F.ceil(F.col("length") / step).alias("n"))
+    each = listed.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("block"))
+    near = each.repartition(parts(spark), "path", F.floor(F.col("block") / 16)).sortWithinPartitions("path", "block")
+    return near.mapInArrow(bounded(cut), BLOCKS)
 
 
 def separator_scan(blocks: DataFrame, end_id: int, width: int = 2) -> DataFrame:
@@ -180,9 +203,9 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """The documents written as flat token files to the shared folder, and these scanned."""
     path = path or ranks_path()
     with open(path, "rb") as f:
-        end = sum(1 for _ in f)
+        end = end_of(f.read().splitlines())
     blocks = stage(token_blocks(docs, path), "tokens")
-    return separator_scan(blocks, end)
+    return separator_scan(blocks, end, id_width(end))
 
 
 def op1_query(spark, sf_dir: str) -> DataFrame:
