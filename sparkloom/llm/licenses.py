@@ -9,11 +9,11 @@ rarest first, and the join keeps to that order:
 * length filter: a block with fewer template words than are needed is dropped;
 * positional filter: the words that can still match behind the matched one, in template and block, must suffice.
 
-What is left is verified by intersecting the sets. Templates are a bounded parameter (a few dozen of up to ``BLOCK - STRIDE`` words), so the index
-and the words' frequencies are broadcast or become literals; texts are never shuffled. The base phrases are templates too: a phrase
+What is left is verified by intersecting the sets. Templates are a bounded parameter (some dozens, of any length: each is looked for in blocks of
+twice the least power of two times ``STRIDE`` that holds it, whatever the other templates are), so the index and the words' frequencies are broadcast or become literals; texts are never shuffled. The base phrases are templates too: a phrase
 fits a block whole, so every place of it is in a block that the join finds, and an exact comparison of consecutive words follows.
 
-Defined cases: a null text has no words; a doc_id that is null or repeats is a row of its own; an empty table stays empty; columns besides doc_id and text
+Defined cases: a null text has no words; a text of any length is read whole, in blocks; rows that tie in everything keep their own answers; a doc_id that is null or repeats is a row of its own; an empty table stays empty; columns besides doc_id and text
 are not read.
 """
 
@@ -84,34 +84,52 @@ def template_matches(docs: DataFrame, phrases: dict[str, str], templates: list[t
     score (share of the template's words) and places (starts of the phrase's words in the document; empty for a template)."""
     spark = docs.sparkSession
     all_ = [(label, _split(p), True) for p, label in phrases.items()] + [(label, _split(t), False) for label, t in templates]
-    if max(len(w) for _, w, _ in all_) > BLOCK - STRIDE:
-        raise ValueError("a template must be no longer than two blocks overlap")
     vocabulary = sorted({w for _, words, _ in all_ for w in words})
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     split = docs.select("doc_id", F.regexp_extract_all(lowered(text), F.lit(WORD), F.lit(0)).alias("_words"))
     frequency = word_frequencies(split, "_words", vocabulary)
     index = template_index(all_, frequency, threshold)
     order = sorted(frequency, key=lambda w: (frequency[w], w))
-    rare = sorted({order[r] for t in index for r in t["ranks"][: t["prefix"]]})
+    rare = _rare(index, order)
 
     has = F.arrays_overlap(F.col("_words"), F.array(*map(F.lit, rare)))
     rows = stage(
         split.select(F.monotonically_increasing_id().alias("_rid"), "doc_id", F.size("_words").cast("long").alias("n_words"), F.when(has, F.col("_words")).alias("_words")),
         "words",
     )
+    met = None
+    for stride in sorted({stride_of(len(t["words"])) for t in index}):
+        some = _met(rows, [t for t in index if stride_of(len(t["words"])) == stride], order, stride)
+        met = some if met is None else met.unionByName(some)
+    return rows.select("_rid", "doc_id", "n_words"), met
+
+
+def stride_of(length: int) -> int:
+    """How far apart the blocks begin in which a template of so many words is looked for: each is twice as long, so one holds any stretch of the template's length."""
+    stride = STRIDE
+    while stride < length:
+        stride *= 2
+    return stride
+
+
+def _rare(index: list[dict], order: list[str]) -> list[str]:
+    return sorted({order[r] for t in index for r in t["ranks"][: t["prefix"]]})
+
+
+def _met(rows: DataFrame, index: list[dict], order: list[str], stride: int) -> DataFrame:
+    """The blocks of one size that meet templates of that size."""
+    spark, rare = rows.sparkSession, _rare(index, order)
     # Each block: its words, its place, and the ranks of its template words in ascending order.
-    ranks = spark.createDataFrame([(w, i) for i, w in enumerate(order)], "_w string, _r int")
     b = (
         rows.filter("_words is not null")
-        .withColumn("_b", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("_words") - 1) / STRIDE)).cast("int"))))
-        .withColumn("_slice", F.slice(F.col("_words"), F.col("_b") * STRIDE + 1, F.lit(BLOCK)))
+        .withColumn("_b", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("_words") - 1) / stride)).cast("int"))))
+        .withColumn("_slice", F.slice(F.col("_words"), F.col("_b") * stride + 1, F.lit(2 * stride)))
         .select("_rid", "_b", "_slice")
         .filter(F.arrays_overlap("_slice", F.array(*map(F.lit, rare))))
     )
     own = F.array_intersect(F.col("_slice"), F.array(*map(F.lit, order)))
     code = F.create_map(*(x for i, w in enumerate(order) for x in (F.lit(w), F.lit(i))))
     b = b.withColumn("_ranks", F.sort_array(F.transform(own, lambda w: F.element_at(code, w))))
-    del ranks
     entries = [
         (r, place, t["id"], t["label"], t["phrase"], t["words"], t["ranks"], len(t["ranks"]), t["need"])
         for t in index
@@ -130,13 +148,13 @@ def template_matches(docs: DataFrame, phrases: dict[str, str], templates: list[t
     )
     last = F.size("_slice") - F.size("_tw")
     starts = F.when(F.col("phrase") & (last >= 0), F.filter(F.sequence(F.lit(0), last), lambda i: F.slice(F.col("_slice"), i + 1, F.size("_tw")) == F.col("_tw")))
-    places = F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda i: (F.col("_b") * STRIDE + i).cast("long"))
-    return rows.select("_rid", "doc_id", "n_words"), met.select("_rid", "label", "phrase", "score", places.alias("places"))
+    places = F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda i: (F.col("_b") * stride + i).cast("long"))
+    return met.select("_rid", "label", "phrase", "score", places.alias("places"))
 
 
-def license_scan(docs: DataFrame) -> DataFrame:
+def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every document."""
-    rows, met = template_matches(docs, PHRASES, TEMPLATES)
+    rows, met = template_matches(docs, phrases, TEMPLATES if templates is None else templates)
     met = stage(met, "matches")
     places = met.filter("phrase").select("_rid", "label", F.explode("places").alias("_p")).distinct()
     base = places.groupBy("_rid").agg(
