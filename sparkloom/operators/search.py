@@ -15,20 +15,24 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.functions import text as X
 from sparkloom.operators import keywords
 from sparkloom.operators.keywords import K1, B, Best
 from sparkloom.operators.ordering import global_position
-from sparkloom.session import stage
+from sparkloom.session import bounded, stage, width
 
 FUSION = 60
 SCORE_THRESHOLD, MMR_LAMBDA = 0.2, 0.6
 TOKEN_BUDGET, SNIPPET_LINES = 1200, 5
 #: Most queries whose vectors are broadcast in one job (times the dimension, some tens of MB).
 MOST_QUERIES = 50_000
+#: Queries that meet all vectors in one pass, and vectors that meet them as one block, which then takes some tens of MB.
+SLICE, BLOCK = 8192, 512
 #: Most queries, and most of their terms, that meet all chunks as one block; a block of ``ROWS`` chunks then takes some tens of MB.
 BLOCK_QUERIES, BLOCK_TERMS, ROWS = 2048, 32768, 128
 
@@ -54,21 +58,107 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 def vector_search(chunks: DataFrame, queries: DataFrame, k: int, vector: str = "vector") -> DataFrame:
     """query_id, id, distance, score, rank of the ``k`` nearest chunks of each query (``query_id``, ``query_vector``). Exact."""
-    q = queries.select("query_id", "query_vector")
-    if q.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES:
-        return _nearest(chunks, q, k, vector)
-    # More queries than may be broadcast come in slices, each against all rows.
-    placed = stage(global_position(q, [F.col("query_id")], "_at", "_all").withColumn("_slice", F.floor(F.col("_at") / MOST_QUERIES)).drop("_at", "_all"), "slices")
-    parts = [_nearest(chunks, placed.filter(F.col("_slice") == i).drop("_slice"), k, vector) for i in range(placed.agg(F.max("_slice")).first()[0] + 1)]
+    return _in_slices(queries.select("query_id", "query_vector"), lambda q: _nearest(chunks.select("id", F.col(vector).alias("vector")), q, k))
+
+
+def _in_slices(queries: DataFrame, search) -> DataFrame:
+    """``search`` of all queries, or of slices of them that may be held by every task, each against all rows."""
+    if queries.limit(SLICE + 1).count() <= SLICE:
+        return search(queries)
+    placed = stage(global_position(queries, [F.col("query_id")], "_at", "_all").withColumn("_slice", F.floor(F.col("_at") / SLICE)).drop("_at", "_all"), "slices")
+    parts = [search(placed.filter(F.col("_slice") == i).drop("_slice")) for i in range(placed.agg(F.max("_slice")).first()[0] + 1)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
-def _nearest(chunks: DataFrame, queries: DataFrame, k: int, vector: str) -> DataFrame:
-    pairs = chunks.select("id", vector).join(F.broadcast(queries))  # the stated query set against all rows
-    near = pairs.withColumn("distance", squared_distance(F.col(vector), F.col("query_vector"))).select("query_id", "id", "distance").filter("distance is not null")
+def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of the vectors of each length without nulls: their places, and the vectors as doubles. Others have no distance to any."""
+    sizes = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    for n in np.unique(sizes[sizes >= 0]).tolist():
+        at = np.flatnonzero(sizes == n)
+        flat = column.take(pa.array(at)).flatten()
+        whole = flat.is_valid().to_numpy(zero_copy_only=False).reshape(len(at), n).all(axis=1)
+        yield at[whole], pc.cast(flat.fill_null(0), pa.float64()).to_numpy(zero_copy_only=False).reshape(len(at), n)[whole]
+
+
+class Nearest:
+    """The ``k`` nearest rows of each query among blocks of vectors, by distance and id.
+
+    A matrix product tells which rows cannot be among them, with room for its rounding; only the others' distances are taken, summed in the order of the vector."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.queries = k, queries
+        self.q, self.d, self.i = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
+        self.most = np.full(queries, np.inf)
+
+    def add(self, which: np.ndarray, y: np.ndarray, x: np.ndarray, ids: np.ndarray) -> None:
+        """Rows ``x`` meet the vectors ``y`` of the queries ``which``."""
+        with np.errstate(all="ignore"):
+            xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+            room = 1e-9 * (xx[:, None] + yy[None, :])
+            about = np.nan_to_num(xx[:, None] + yy[None, :] - 2 * (x @ y.T) - room, nan=-np.inf)
+            if len(ids) > self.k and np.isinf(self.most[which]).any():
+                self.most[which] = np.minimum(self.most[which], np.partition(about + 2 * room, self.k - 1, axis=0)[self.k - 1])
+            row, q = np.nonzero(~(about > self.most[which][None, :]))
+            for a in range(0, len(row), 1 << 16):
+                r, c = row[a : a + (1 << 16)], q[a : a + (1 << 16)]
+                gaps = x[r] - y[c]
+                far = np.cumsum(gaps * gaps, axis=1)[:, -1] if gaps.shape[1] else np.zeros(len(r))
+                self.q, self.d, self.i = np.concatenate((self.q, which[c])), np.concatenate((self.d, far)), np.concatenate((self.i, ids[r]))
+                if len(self.q) > 4 * self.k * self.queries:
+                    self._cut()
+
+    def _cut(self) -> None:
+        names = {v: n for n, v in enumerate(sorted(set(self.i.tolist()), key=lambda v: (v is not None, v)))}
+        order = np.lexsort((np.array([names[v] for v in self.i.tolist()], np.int64), self.d, self.q))
+        q = self.q[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, np.arange(self.queries))[q]
+        full = np.flatnonzero(rank == self.k - 1)
+        last = np.where(np.isnan(self.d[order][full]), np.inf, self.d[order][full])
+        self.most[q[full]] = np.minimum(self.most[q[full]], last)
+        keep = order[rank < self.k]
+        self.q, self.d, self.i = self.q[keep], self.d[keep], self.i[keep]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self._cut()
+        return self.q, self.i, self.d
+
+
+def _nearest(chunks: DataFrame, queries: DataFrame, k: int, centres: np.ndarray | None = None, probes: int = 0) -> DataFrame:
+    """The queries, a slice at most, go to every task; ``chunks`` (id, vector, and cell where only the ``probes`` nearest ``centres`` of a query are looked at) are dealt out, for few bytes of vectors are much work."""
+    spark = chunks.sparkSession
+    asked = queries.select("query_id", "query_vector").toArrow().combine_chunks()
+    column = lambda name: asked.column(name).combine_chunks() if asked.num_rows else pa.array([], asked.schema.field(name).type)
+    held = [(at, y, None if centres is None or not y.shape[1] == centres.shape[1] else cell_of(y.astype(np.float32), centres, probes)) for at, y in _by_length(column("query_vector"))]
+    shared = spark.sparkContext.broadcast((column("query_id"), held))
+    kind, name = chunks.schema["id"].dataType, queries.schema["query_id"].dataType
+    schema = T.StructType([T.StructField("query_id", name), T.StructField("id", kind), T.StructField("distance", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, sides = shared.value
+        best, of = Nearest(len(names), k), pa.string()
+        for batch in batches:
+            of = batch.column("id").type
+            ids, vectors = np.array(batch.column("id").to_pylist(), object), batch.column("vector")
+            cells = batch.column("cell").to_numpy() if centres is not None else None
+            for at, x in _by_length(vectors):
+                for which, y, near in sides:
+                    if y.shape[1] != x.shape[1]:
+                        continue
+                    if near is None:
+                        best.add(which, y, x, ids[at])
+                        continue
+                    for cell in np.unique(cells[at]).tolist():
+                        rows, some = np.flatnonzero(cells[at] == cell), np.flatnonzero((near == cell).any(axis=1))
+                        if len(some):
+                            best.add(which[some], y[some], x[rows], ids[at[rows]])
+        q, i, d = best.rows()
+        if len(q):
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), pa.array(i.tolist(), of), pa.array(d)], names=["query_id", "id", "distance"])
+
+    near = chunks.repartition(width(spark)).mapInArrow(bounded(run, BLOCK), schema)
     return top(near, k, F.col("distance"), F.col("id")).withColumn("score", X.closeness(F.col("distance")))
 
 
@@ -105,17 +195,9 @@ def index_cells(chunks: DataFrame, centres: np.ndarray, vector: str = "vector")
 
 
 def cell_search(indexed: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, probes: int = 64, vector: str = "vector") -> DataFrame:
-    """As ``vector_search``, over the ``probes`` nearest cells of each query only; distances are exact. A hot cell is not shuffled, for the queries go to the rows."""
-    rows = queries.select("query_id", "query_vector").limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: ask in slices")
-    near = cell_of(np.array([r["query_vector"] for r in rows], np.float32), centres, probes) if rows and len(centres) else np.zeros((0, 0), int)
-    pairs = [(r["query_id"], int(c)) for r, own in zip(rows, near) for c in own]
-    kind = queries.schema["query_id"].dataType.simpleString()
-    probed = queries.sparkSession.createDataFrame(pairs, f"query_id {kind}, cell int").join(queries.select("query_id", "query_vector"), "query_id")
-    met = indexed.select("id", "cell", vector).join(F.broadcast(probed), "cell")
-    found = met.withColumn("distance", squared_distance(F.col(vector), F.col("query_vector"))).select("query_id", "id", "distance")
-    return top(found, k, F.col("distance"), F.col("id")).withColumn("score", X.closeness(F.col("distance")))
+    """As ``vector_search``, over the ``probes`` nearest cells of each query only; distances are exact. A hot cell is spread over the tasks, for the queries go to the rows."""
+    rows = indexed.select("id", F.col(vector).alias("vector"), "cell")
+    return _in_slices(queries.select("query_id", "query_vector"), lambda q: _nearest(rows, q, k, centres, probes))
 
 
 def postings(chunks: DataFrame, text: str = "content") -> DataFrame:
