@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.session import bounded, drop, stage
+from sparkloom.session import bounded, dealt, drop, stage, width
 
 #: Bytes of text that one block holds at least, if its task has as many.
 BLOCK_BYTES = 8 << 20
@@ -253,9 +253,11 @@ def align(docs: DataFrame, names: tuple[str, str] | None = None, block_bytes: in
     most = counted.groupBy(second).agg(F.max("n").alias("most"))
     links = stage(counted.select("pair", second, "n").join(most, "b").select("pair", F.shiftright("pair", 32).alias("a"), "b", "n", (F.col("n") == F.col("most")).alias("best")), "links")
     drop(counted)
-    found = each.select("block", "at", "pair").join(links.select("pair", "n", "best"), "pair").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "n", "best"))).alias("values"))
+    # A block is some MB on either side, so there is a task for each, however many the session would make.
+    tasks = max(width(spark), blocks.count())
+    found = each.select("block", "at", "pair").join(links.select("pair", "n", "best"), "pair").repartition(tasks, "block").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "n", "best"))).alias("values"))
     nothing = F.array().cast("array<struct<at:int,n:bigint,best:boolean>>")
-    both = blocks.drop("pairs", "counts").join(found, "block", "left").withColumn("values", F.coalesce("values", nothing)).drop("block")
+    both = blocks.drop("pairs", "counts").repartition(tasks, "block").join(dealt(found), "block", "left").withColumn("values", F.coalesce("values", nothing)).drop("block")
     return both.mapInArrow(bounded(_valued, 4, 32 << 20), OUT), links.drop("pair")
 
 
