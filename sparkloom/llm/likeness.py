@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.flattext import U, Words, pieces, rolling
-from sparkloom.session import bounded, drop, stage
+from sparkloom.session import bounded, dealt, drop, release, stage
 
 SHINGLE, SAMPLE, MOST = 5, 20000, 200000
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
@@ -73,29 +73,42 @@ def seeds(texts: DataFrame) -> DataFrame:
     order = np.argsort(known)
     first = texts.mapInArrow(bounded(_first(spark.sparkContext.broadcast((known[order], often[order])))), "token long, t long, n int, at int")
     shared = stage(first.groupBy("token").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count("*").alias("many")).filter("a <> b").select("token", "many"), "shared")
-    return stage(first.join(shared, "token").distinct(), "shingles")
+    release(spark)
+    out = stage(first.join(dealt(shared), "token").distinct(), "shingles")
+    drop(shared)
+    release(spark)
+    return out
 
 
-def links(rows: DataFrame, texts: DataFrame, star: int | None) -> DataFrame:
-    """(a, b): fingerprints of texts that are alike and of two components. ``rows`` are seeds with fp and _root.
+def links(rows: DataFrame, texts: DataFrame, prints: DataFrame, star: int | None) -> DataFrame:
+    """(a, b): fingerprints (``prints``: t, fp) of texts that are alike and of two components. ``rows`` are seeds with _root.
 
+    Tokens whose texts are all in one component are left out first; where copies abound these are most.
     With ``star``, each token's texts meet only one of them (another for each star), which joins a crowd without its pairs."""
-    cells = F.struct("t", "n", "at", "fp", "_root")
-    on = ["token"]
+    cells = F.struct("t", "n", "at", "_root")
+    rows = rows.select("token", "t", "n", "at", "_root")
+    ends = [F.min("_root").alias("_lo"), F.max("_root").alias("_hi")]
     if star is None:
-        # Alike sets differ in size by a fifth at most, that is by less than one class; a common token's texts meet those of their own and the neighbouring classes only.
-        size = F.floor(F.log("n") / F.lit(-math.log(0.79))).cast("int")
-        rows, on = rows.withColumn("_size", size), ["token", "_size"]
-        other, apart = rows.select("token", F.explode(F.array(F.col("_size") - 1, F.col("_size"), F.col("_size") + 1)).alias("_size"), cells.alias("o")), F.col("_root") < F.col("o._root")
+        mixed = rows.groupBy("token").agg(*ends).filter("_lo <> _hi").select("token")
+        shown = stage(rows.join(dealt(mixed), "token"), "mixed")
+        # Alike sets differ in size by a fifth at most, that is by less than one class; a common token's texts meet those of their own and the class below only.
+        left = shown.withColumn("_size", F.floor(F.log("n") / F.lit(-math.log(0.79))).cast("int"))
+        on, other = ["token", "_size"], left.select("token", F.posexplode(F.array(F.col("_size"), F.col("_size") + 1)).alias("_up", "_size"), cells.alias("o"))
+        apart = F.when(F.col("_up") == 0, F.col("_root") < F.col("o._root")).otherwise(F.col("_root") != F.col("o._root"))
     else:
-        other, apart = rows.groupBy("token").agg(F.min_by(cells, F.xxhash64("t", F.lit(star))).alias("o")), F.col("_root") != F.col("o._root")
+        left, on, other = rows, ["token"], rows.groupBy("token").agg(F.min_by(cells, F.xxhash64("t", F.lit(star))).alias("o"), *ends).filter("_lo <> _hi")
+        apart = F.col("_root") != F.col("o._root")
     rest = F.least(F.col("n") - F.col("at"), F.col("o.n") - F.col("o.at"))
     near = (9 * rest >= 4 * (F.col("n") + F.col("o.n"))) & (5 * F.least("n", "o.n") >= 4 * F.greatest("n", "o.n"))
-    pairs = stage(rows.join(other, on).filter(apart & near).select("t", "fp", F.col("o.t").alias("u"), F.col("o.fp").alias("g")).distinct(), "candidates")
-    needed = pairs.select("t").unionByName(pairs.select(F.col("u").alias("t"))).distinct()
-    used = stage(texts.join(needed, "t", "left_semi").dropDuplicates(["t"]), "compared")
-    x, y = used.select("t", F.col("text").alias("x")), used.select(F.col("t").alias("u"), F.col("text").alias("y"))
-    both = pairs.join(x, "t").join(y, "u").select(F.col("fp").alias("a"), F.col("g").alias("b"), "x", "y")
+    pairs = stage(left.join(dealt(other), on).filter(apart & near).select("t", F.col("o.t").alias("u")).distinct(), "candidates")
+    if star is None:
+        drop(shown)
+    release(texts.sparkSession)
+    needed = pairs.select("t").unionByName(pairs.select(F.col("u").alias("t"))).distinct().join(dealt(prints), "t")
+    used = stage(texts.join(dealt(needed), "t").dropDuplicates(["t"]), "compared")
+    release(texts.sparkSession)
+    x, y = used.select("t", F.col("fp").alias("a"), F.col("text").alias("x")), used.select(F.col("t").alias("u"), F.col("fp").alias("b"), F.col("text").alias("y"))
+    both = pairs.join(dealt(x), "t").join(dealt(y), "u").select("a", "b", "x", "y")
     found = stage(both.mapInArrow(bounded(_alike), "a long, b long").distinct(), "alike")
     drop(pairs, used)
     return found

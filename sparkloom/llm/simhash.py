@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import likeness
-from sparkloom.session import bounded, drop, release, stage, width
+from sparkloom.session import bounded, dealt, drop, release, stage
 
 CROWD = 64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -86,19 +86,19 @@ def links(classes: DataFrame, bits: int = 2, crowd: int = CROWD) -> DataFrame:
     key = F.expr(f"({half} & ~shiftleft(1L, _b % 32)) | shiftleft(CAST(_b AS BIGINT), 32)")
     keyed = classes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("_b")).select("fp", key.alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    hits = stage(keyed.join(shared, "key"), "signatures")
+    hits = stage(keyed.join(dealt(shared), "key"), "signatures")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
 
     def met(few: DataFrame) -> DataFrame:
         a, b = few.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
-        return a.join(b, "key").filter((F.col("a") < F.col("b")) & near).select("a", "b")
+        return a.join(dealt(b), "key").filter((F.col("a") < F.col("b")) & near).select("a", "b")
 
     pairs = met(hits.filter(F.col("n") <= crowd))
     # Two differing bits leave four of six segments equal: fifteen keys of 42 bits or more for each member of a crowd.
     crowded = hits.filter(F.col("n") > crowd).select("fp").distinct()
     gone = F.array(*(F.lit(m) for m in _pairs_of_segments()))
     parts = crowded.select("fp", F.posexplode(gone).alias("_k", "_m")).select("fp", F.struct("_k", F.col("fp").bitwiseAND(F.bitwise_not("_m")).alias("v")).alias("key"))
-    again = stage(parts.join(parts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"), "signatures")
+    again = stage(parts.join(dealt(parts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")), "key"), "signatures")
     pairs = pairs.unionByName(met(again.filter(F.col("n") <= crowd)))
     crowded = again.filter(F.col("n") > crowd).select("fp").distinct()
     two = crowded.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(62)))).withColumn("_j", F.explode(F.sequence(F.col("_i") + 1, F.lit(63))))
@@ -106,7 +106,10 @@ def links(classes: DataFrame, bits: int = 2, crowd: int = CROWD) -> DataFrame:
     variants = two.select("fp", (F.col("_i") * 64 + F.col("_j")).alias("_ij"), F.col("fp").bitwiseAND(F.bitwise_not(gone)).alias("_v"))
     stars = variants.groupBy("_ij", "_v").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("_all")).filter(F.size("_all") > 1)
     stars = stars.select("a", F.explode("_all").alias("b")).filter("a <> b")
-    return pairs.unionByName(stars).distinct()
+    found = stage(pairs.unionByName(stars).distinct(), "near")
+    drop(hits, again)
+    release(classes.sparkSession)
+    return found
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -123,10 +126,10 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     for _ in range(most):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.filter("b > a").join(dealt(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        small = down.join(dealt(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         small = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         nxt = stage(small, "edges")
         sums = nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -143,8 +146,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
 def _rooted(classes: DataFrame, edges: DataFrame) -> DataFrame:
     """``classes`` with _root, the smallest fingerprint of the component."""
-    roots = stage(components(edges), "roots")
-    return classes.join(roots, classes["fp"] == roots["node"], "left").select(*classes.columns, F.coalesce("root", "fp").alias("_root"))
+    roots = components(edges)
+    return classes.join(dealt(roots), classes["fp"] == roots["node"], "left").select(*classes.columns, F.coalesce("root", "fp").alias("_root"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -153,26 +156,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stage(signed.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     placed = _rooted(classes, links(classes.select("fp")))
     names = placed.groupBy("_root").agg(F.min("first").alias("component_id"))
-    named = placed.join(names, "_root").select(F.col("fp").alias("_fp"), "component_id")
-    return signed.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    named = placed.join(dealt(names), "_root").select(F.col("fp").alias("_fp"), "component_id")
+    return signed.join(dealt(named), F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
 def _with_alike(docs: DataFrame, signed: DataFrame, classes: DataFrame) -> DataFrame:
     """``classes`` with _root over near fingerprints and alike texts. Two stars thin out crowds; all pairs of what is still apart follow."""
-    edges = stage(links(classes.select("fp")), "near")
+    edges = links(classes.select("fp"))
     placed = stage(_rooted(classes, edges), "placed")
     texts = docs.select(text_key().alias("t"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     seeds = likeness.seeds(texts)
     prints = stage(signed.select("t", "fp").distinct(), "prints")
     crowded = not seeds.filter(F.col("many") > CROWD).isEmpty()
     for star in (1, 2, None) if crowded else (None,):
+        homes = stage(prints.join(dealt(placed.select("fp", "_root")), "fp").select("t", "_root"), "homes")
         rows = seeds if star is None else seeds.filter(F.col("many") > CROWD)
-        rows = rows.join(prints, "t").join(placed.select("fp", "_root"), "fp")
-        found = likeness.links(rows, texts, star)
+        found = likeness.links(rows.join(dealt(homes), "t"), texts, prints, star)
         if not found.isEmpty():
+            old = (edges, placed)
             edges = stage(edges.unionByName(found), "near")
             placed = stage(_rooted(classes, edges), "placed")
-    release(docs.sparkSession)
+            drop(*old)
+        drop(homes, found)
+        release(docs.sparkSession)
+    drop(seeds, prints, edges)
     return placed
 
 
@@ -185,11 +192,13 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     placed = _with_alike(docs, signed, classes)
     names = placed.groupBy("_root").agg(F.min("first").alias("first"))
     named = names.select(F.col("first.doc_id").alias("__keep"), F.col("first.t").alias("__u"))
-    own = signed.join(named, signed["doc_id"].eqNullSafe(F.col("__keep")) & (F.col("t") == F.col("__u")))
+    own = signed.join(dealt(named), signed["doc_id"].eqNullSafe(F.col("__keep")) & (F.col("t") == F.col("__u")))
     keep = stage(own.groupBy("__keep", "__u").agg(F.count("*").alias("__rows")), "kept")
+    drop(signed, classes, placed)
+    release(docs.sparkSession)
     # The input's columns travel in one struct, so that their names may be any.
     rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").cast("long").alias("__id"), text_key().alias("__t"))
-    kept = rows.join(keep, F.col("__id").eqNullSafe(F.col("__keep")) & (F.col("__t") == F.col("__u")))
+    kept = rows.join(dealt(keep), F.col("__id").eqNullSafe(F.col("__keep")) & (F.col("__t") == F.col("__u")))
     once = kept.filter("__rows = 1").select("__row.*")
     # Rows that repeat doc_id and text are rare; only they are compared.
     return once.unionByName(kept.filter("__rows > 1").dropDuplicates(["__keep", "__u"]).select("__row.*"))
