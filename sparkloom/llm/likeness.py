@@ -2,7 +2,8 @@
 
 All shingles are put in one order, common ones last (as a sample counts them; any order gives the same result). Two texts that are alike
 share one of the first n - ceil(0.8 n) + 1 shingles of each, so they meet in an equality join on these; length and place rule out
-most of the rest and the full sets decide. Words are lowered as in the fingerprints; one to four words form one shingle.
+most of the rest and the full sets decide. Where many texts share a token, those like one of them are joined to it and all are indexed
+anew by what that one lacks (``thinned``), so near texts of one origin that are not alike do not meet in all their pairs. Words are lowered as in the fingerprints; one to four words form one shingle.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from sparkloom.llm.flattext import U, Words, pieces, rolling
 from sparkloom.session import bounded, dealt, drop, release, stage
 
 SHINGLE, SAMPLE, MOST = 5, 20000, 200000
+#: Texts from which on a token's texts are a crowd, and how often crowds are thinned out before all pairs of what is left are compared.
+CROWD, ROUNDS = 16, 3
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 
 
@@ -38,17 +42,22 @@ def _all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], names=["token"])
 
 
+def _common_last(s: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A set's shingles in the order of all shingles."""
+    known, often = common
+    if not len(known) or not len(s):
+        return s
+    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+    return s[np.argsort(np.where(known[at] == s, often[at], 0), kind="stable")]
+
+
 def _first(common):
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, often = common.value
         for batch in batches:
             t, out = batch.column("t").to_numpy(), []
             for key, s in zip(t.tolist(), shingles(batch.column("text"))):
                 n = len(s)
-                if len(known) and n:
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    s = s[np.argsort(np.where(known[at] == s, often[at], 0), kind="stable")]
-                s = s[: n - (4 * n + 4) // 5 + 1] if n else s
+                s = _common_last(s, common.value)[: n - (4 * n + 4) // 5 + 1] if n else s
                 out.append((s.view(np.int64), np.full(len(s), key), np.full(len(s), n, np.int32), np.arange(len(s), dtype=np.int32)))
             kinds = (np.int64, np.int64, np.int32, np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, k), *(o[i] for o in out)])) for i, k in enumerate(kinds)], names=["token", "t", "n", "at"])
@@ -56,6 +65,42 @@ def _first(common):
     return first
 
 
+def _numbers(column: pa.Array) -> list[np.ndarray]:
+    return [x.values.to_numpy().view(U) for x in column]
+
+
+def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of each hub, and those of the hubs before it."""
+    for batch in batches:
+        own = list(shingles(batch.column("text")))
+        away = [np.setdiff1d(np.union1d(x, y), s) for s, x, y in zip(own, _numbers(batch.column("own")), _numbers(batch.column("away")))]
+        sets = (pa.array([x.view(np.int64) for x in side], pa.list_(pa.int64())) for side in (own, away))
+        yield pa.RecordBatch.from_arrays([batch.column("g"), batch.column("hub"), *sets], names=["g", "hub", "own", "away"])
+
+
+def _around(common):
+    """Whether a text is like its hub, and its first shingles in the order that has those of hubs last."""
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike, first = [], []
+            columns = (shingles(batch.column("text")), _numbers(batch.column("own")), _numbers(batch.column("away")), batch.column("low").to_pylist())
+            for s, own, away, low in zip(*columns):
+                n = len(s)
+                s = _common_last(s, common.value)
+                last = np.where(np.isin(s, own), 2, np.isin(s, away).astype(int))
+                shared = int((last == 2).sum())
+                alike.append(9 * shared >= 4 * (n + len(own)))
+                least = max(low, (4 * n + 4) // 5)
+                most = n - (4 * (n + least) + 8) // 9 + 1
+                if len(own) <= (n if alike[-1] else least):
+                    most = min(most, n - shared)
+                first.append(s[np.argsort(last, kind="stable")][:most].view(np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("g", "hub", "t", "n")), pa.array(alike, pa.bool_()), pa.array(first, pa.list_(pa.int64()))], names=["g", "hub", "t", "n", "alike", "first"])
+
+    return around
+
+
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         both = zip(shingles(batch.column("x")), shingles(batch.column("y")))
@@ -63,46 +108,80 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array([9 * m >= 4 * n for m, n in met], pa.bool_()))
 
 
-def seeds(texts: DataFrame) -> DataFrame:
-    """(token, t, n, at, many): the first shingles of every distinct text that another text has among its first, and by how many."""
+def _met(first: DataFrame) -> DataFrame:
+    """The rows of ``first`` whose token another text has too, with ``many``, the number of these texts."""
+    shared = first.groupBy("g", "token").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count("*").alias("many")).filter("a <> b").select("g", "token", "many")
+    shared = stage(shared, "shared")
+    release(first.sparkSession)
+    out = stage(first.join(dealt(shared), ["g", "token"]).distinct(), "shingles")
+    drop(shared)
+    release(first.sparkSession)
+    return out
+
+
+def seeds(texts: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """(g, token, t, n, at, many): the first shingles of every distinct text that another text has among its first, and by how many; g is 0. Then the common shingles, which come last."""
     spark = texts.sparkSession
     every = max(1, texts.count() // SAMPLE)
     sample = texts.filter(F.pmod("t", F.lit(every)) == 0).dropDuplicates(["t"]).select("text").mapInArrow(bounded(_all), "token long")
     common = sample.groupBy("token").agg(F.count("*").alias("n")).filter("n >= 4").orderBy(F.desc("n"), "token").limit(MOST).toArrow()
     known, often = common.column("token").to_numpy().view(U), common.column("n").to_numpy()
     order = np.argsort(known)
-    first = texts.mapInArrow(bounded(_first(spark.sparkContext.broadcast((known[order], often[order])))), "token long, t long, n int, at int")
-    shared = stage(first.groupBy("token").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count("*").alias("many")).filter("a <> b").select("token", "many"), "shared")
-    release(spark)
-    out = stage(first.join(dealt(shared), "token").distinct(), "shingles")
-    drop(shared)
+    shared = spark.sparkContext.broadcast((known[order], often[order]))
+    first = texts.mapInArrow(bounded(_first(shared)), "token long, t long, n int, at int")
+    return _met(first.withColumn("g", F.lit(0).cast("long"))), shared
+
+
+def thinned(rows: DataFrame, texts: DataFrame, prints: DataFrame, before: DataFrame | None, common: Broadcast) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Crowds around hubs. ``rows`` are those of common tokens with _root. Returns edges (a, b) from texts to a hub they are like, rows that take the place of ``rows``, and the hubs.
+
+    A crowd's hub is the text with the least share of rare shingles before the crowded ones. Let x and y be alike and y not like the hub p, with p no larger than x: then x and y share a shingle that p
+    does not have, for what y shares with p is less than what it must share with x. So the crowd is indexed anew, by the first shingles in an order that has those of p last; whatever is like p is one component."""
+    spark = rows.sparkSession
+    ends = rows.groupBy("g", "token").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi"), F.min("n").alias("low")).filter("_lo <> _hi").select("g", "token", "low")
+    inside = stage(rows.select("g", "token", "t", "n", "at").join(dealt(ends), ["g", "token"]), "crowds")
+    rare = inside.groupBy("g", "t").agg(F.min("at").alias("_rare"))
+    best = F.min_by("t", F.struct(F.col("_rare") / F.col("n"), "n", F.xxhash64("t"))).alias("hub")
+    hub = inside.join(dealt(rare), ["g", "t"]).groupBy("g", "token").agg(best)
+    near = inside.join(dealt(hub), ["g", "token"]).groupBy(F.col("g").alias("_g"), "hub", "t").agg(F.first("n").alias("n"), F.min("low").alias("low"))
+    near = stage(near.withColumn("g", F.xxhash64("_g", "hub")), "near-hubs")
+    drop(inside)
+    named = near.select("g", "_g", "hub").distinct()
+    none = F.array().cast("array<long>")
+    if before is None:
+        named = named.withColumns({"own": none, "away": none})
+    else:
+        named = named.join(dealt(before.select(F.col("g").alias("_g"), "own", "away")), "_g")
+    own = texts.join(dealt(named.select(F.col("hub").alias("t")).distinct()), "t").dropDuplicates(["t"]).select(F.col("t").alias("hub"), "text")
+    hubs = stage(named.join(dealt(own), "hub").select("g", "hub", "text", "own", "away").mapInArrow(bounded(_hubs), "g long, hub long, own array<long>, away array<long>"), "hubs")
+    used = stage(texts.join(dealt(near.select("t").distinct()), "t").dropDuplicates(["t"]), "compared")
+    both = near.select("g", "t", "n", "low").join(dealt(used), "t").join(dealt(hubs), "g").select("g", "hub", "t", "n", "low", "text", "own", "away")
+    seen = stage(both.mapInArrow(bounded(_around(common)), "g long, hub long, t long, n int, alike boolean, first array<long>"), "around")
+    drop(near, used)
     release(spark)
-    return out
+    a, b = prints.select("t", F.col("fp").alias("a")), prints.select(F.col("t").alias("hub"), F.col("fp").alias("b"))
+    edges = stage(seen.filter("alike and t <> hub").select("t", "hub").distinct().join(dealt(a), "t").join(dealt(b), "hub").filter("a <> b").select("a", "b").distinct(), "alike")
+    found = _met(seen.select("g", "t", "n", F.posexplode("first").alias("at", "token")).select("g", "token", "t", "n", "at"))
+    drop(seen)
+    return edges, found, hubs
 
 
-def links(rows: DataFrame, texts: DataFrame, prints: DataFrame, star: int | None) -> DataFrame:
+def links(rows: DataFrame, texts: DataFrame, prints: DataFrame) -> DataFrame:
     """(a, b): fingerprints (``prints``: t, fp) of texts that are alike and of two components. ``rows`` are seeds with _root.
 
-    Tokens whose texts are all in one component are left out first; where copies abound these are most.
-    With ``star``, each token's texts meet only one of them (another for each star), which joins a crowd without its pairs."""
+    Tokens whose texts are all in one component are left out first; where copies abound these are most."""
     cells = F.struct("t", "n", "at", "_root")
-    rows = rows.select("token", "t", "n", "at", "_root")
-    ends = [F.min("_root").alias("_lo"), F.max("_root").alias("_hi")]
-    if star is None:
-        mixed = rows.groupBy("token").agg(*ends).filter("_lo <> _hi").select("token")
-        shown = stage(rows.join(dealt(mixed), "token"), "mixed")
-        # Alike sets differ in size by a fifth at most, that is by less than one class; a common token's texts meet those of their own and the class below only.
-        left = shown.withColumn("_size", F.floor(F.log("n") / F.lit(-math.log(0.79))).cast("int"))
-        on, other = ["token", "_size"], left.select("token", F.posexplode(F.array(F.col("_size"), F.col("_size") + 1)).alias("_up", "_size"), cells.alias("o"))
-        apart = F.when(F.col("_up") == 0, F.col("_root") < F.col("o._root")).otherwise(F.col("_root") != F.col("o._root"))
-    else:
-        left, on, other = rows, ["token"], rows.groupBy("token").agg(F.min_by(cells, F.xxhash64("t", F.lit(star))).alias("o"), *ends).filter("_lo <> _hi")
-        apart = F.col("_root") != F.col("o._root")
+    rows = rows.select("g", "token", "t", "n", "at", "_root")
+    mixed = rows.groupBy("g", "token").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).filter("_lo <> _hi").select("g", "token")
+    shown = stage(rows.join(dealt(mixed), ["g", "token"]), "mixed")
+    # Alike sets differ in size by a fifth at most, that is by less than one class; a common token's texts meet those of their own and the class below only.
+    left = shown.withColumn("_size", F.floor(F.log("n") / F.lit(-math.log(0.79))).cast("int"))
+    other = left.select("g", "token", F.posexplode(F.array(F.col("_size"), F.col("_size") + 1)).alias("_up", "_size"), cells.alias("o"))
+    apart = F.when(F.col("_up") == 0, F.col("_root") < F.col("o._root")).otherwise(F.col("_root") != F.col("o._root"))
     rest = F.least(F.col("n") - F.col("at"), F.col("o.n") - F.col("o.at"))
     near = (9 * rest >= 4 * (F.col("n") + F.col("o.n"))) & (5 * F.least("n", "o.n") >= 4 * F.greatest("n", "o.n"))
-    pairs = stage(left.join(dealt(other), on).filter(apart & near).select("t", F.col("o.t").alias("u")).distinct(), "candidates")
-    if star is None:
-        drop(shown)
+    pairs = stage(left.join(dealt(other), ["g", "token", "_size"]).filter(apart & near).select("t", F.col("o.t").alias("u")).distinct(), "candidates")
+    drop(shown)
     release(texts.sparkSession)
     needed = pairs.select("t").unionByName(pairs.select(F.col("u").alias("t"))).distinct().join(dealt(prints), "t")
     used = stage(texts.join(dealt(needed), "t").dropDuplicates(["t"]), "compared")

@@ -161,25 +161,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _with_alike(docs: DataFrame, signed: DataFrame, classes: DataFrame) -> DataFrame:
-    """``classes`` with _root over near fingerprints and alike texts. Two stars thin out crowds; all pairs of what is still apart follow."""
+    """``classes`` with _root over near fingerprints and alike texts. Crowds are thinned out around hubs; all pairs of what is still apart follow."""
     edges = links(classes.select("fp"))
     placed = stage(_rooted(classes, edges), "placed")
     texts = docs.select(text_key().alias("t"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    seeds = likeness.seeds(texts)
     prints = stage(signed.select("t", "fp").distinct(), "prints")
-    crowded = not seeds.filter(F.col("many") > CROWD).isEmpty()
-    for star in (1, 2, None) if crowded else (None,):
-        homes = stage(prints.join(dealt(placed.select("fp", "_root")), "fp").select("t", "_root"), "homes")
-        rows = seeds if star is None else seeds.filter(F.col("many") > CROWD)
-        found = likeness.links(rows.join(dealt(homes), "t"), texts, prints, star)
+    rows, common = likeness.seeds(texts)
+    held, hubs = [rows], None
+    few, crowd = rows.filter(F.col("many") <= likeness.CROWD), rows.filter(F.col("many") > likeness.CROWD)
+
+    def joined(found: DataFrame) -> None:
+        nonlocal edges, placed
         if not found.isEmpty():
             old = (edges, placed)
             edges = stage(edges.unionByName(found), "near")
             placed = stage(_rooted(classes, edges), "placed")
             drop(*old)
-        drop(homes, found)
+        drop(found)
         release(docs.sparkSession)
-    drop(seeds, prints, edges)
+
+    def rooted(some: DataFrame) -> DataFrame:
+        homes = prints.join(dealt(placed.select("fp", "_root")), "fp").select("t", "_root")
+        return some.join(dealt(homes), "t")
+
+    for _ in range(likeness.ROUNDS):
+        if crowd.isEmpty():
+            break
+        found, rows, hubs = likeness.thinned(rooted(crowd), texts, prints, hubs, common)
+        joined(found)
+        held += [rows, hubs]
+        few, crowd = few.unionByName(rows.filter(F.col("many") <= likeness.CROWD)), rows.filter(F.col("many") > likeness.CROWD)
+    joined(likeness.links(rooted(few.unionByName(crowd)), texts, prints))
+    drop(*held, prints, edges)
     return placed
 
 
