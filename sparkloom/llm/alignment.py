@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from sparkloom.session import bounded, dealt, drop, stage, width
 
 #: Bytes of text that one block holds at least, if its task has as many.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Chunks that are encoded as one text.
 UNIT = 1000
 CHUNK, BESIDE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r" (?:(?<=\s )|(?=\s))")
@@ -221,6 +221,13 @@ def _blocks(names: tuple[str, str], shared, size: int):
 OUT = "doc_id long, n_a long, n_b long, n_groups long, n_products long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
+def _sums(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The sums of ``x`` between neighbouring places ``at``."""
+    until = np.zeros(len(x) + 1, np.int64)
+    np.cumsum(x, out=until[1:])
+    return until[at[1:]] - until[at[:-1]]
+
+
 def _valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks with the corpus-wide count of each of their pairs and whether it is the best of its second id."""
     for batch in batches:
@@ -229,12 +236,9 @@ def _valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts, best = one["values"].values.field("n").to_numpy(), one["values"].values.field("best").to_numpy(zero_copy_only=False)
             links, words = np.frombuffer(one["links"].as_buffer(), np.uint32), np.frombuffer(one["words"].as_buffer(), np.uint32)
             link_at, word_at = one["link_at"].values.to_numpy(), one["word_at"].values.to_numpy()
-            # Sums over links by chunk, then over chunks by document. A chunk that stands in no document with tokens has no counts.
-            each = np.stack([np.ones(len(links), np.int64), best[links].astype(np.int64), counts[links]]) if len(counts) else np.zeros((3, len(links)), np.int64)
-            by_link = np.concatenate([np.zeros((3, 1), np.int64), np.cumsum(each, 1)], 1)
-            by_chunk = by_link[:, link_at[1:]] - by_link[:, link_at[:-1]]
-            by_word = np.concatenate([np.zeros((3, 1), np.int64), np.cumsum(by_chunk[:, words], 1)], 1)
-            n_links, n_best, count_sum = by_word[:, word_at[1:]] - by_word[:, word_at[:-1]]
+            # Sums over links by chunk, then over chunks by document, one column at a time. A chunk that stands in no document with tokens has no counts.
+            by_chunk = [np.diff(link_at), *(_sums(x[links], link_at) if len(counts) else np.zeros(len(link_at) - 1, np.int64) for x in (best, counts))]
+            n_links, n_best, count_sum = (_sums(x[words], word_at) for x in by_chunk)
             held = [one[c].values for c in ("doc_id", "n_a", "n_b", "n_groups", "n_products")]
             yield pa.RecordBatch.from_arrays([*held, pa.array(n_links), pa.array(n_best), pa.array(count_sum), one["sha"].values], names=[x.split()[0] for x in OUT.split(", ")])
 
