@@ -2,7 +2,7 @@
 
 A page is read as a stream of blocks. Block structure tells four kinds: *main* (in an article or main element), *named* (menus, headers of the site,
 footers, sidebars, notices, adverts, forms, reader comments, by element or by whole words of class, id or role), *maybe* (a paragraph or the like inside an
-article whose class is a word that only may name furniture) and *free* (in no article and not named). An article below a wrapper that is named (a form
+article whose class is a word that only may name furniture) and *free* (in no article and not named, whether or not the page has an article). An article below a wrapper that is named (a form
 around the page, say) is still the text if no other article stands outside; one in a real menu, sidebar or footer is not.
 
 What structure does not decide, the host decides, by comparing its pages with each other; pages of equal content count as one:
@@ -251,13 +251,12 @@ def host_of(url: str | None) -> str:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = {"main": MAIN, "named": NAMED_, "maybe": MAYBE, "free": FREE}
     for batch in batches:
         hosts, prints, texts, kinds, undecided = [], [], [], [], []
         for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
             page = Page(source or "")
             hosts.append(host_of(url))
-            # Beside an article free blocks are no text; nothing is left to decide about them.
-            kind = {"main": MAIN, "named": NAMED_, "maybe": MAYBE, "free": NAMED_ if page.has_main else FREE}
             texts.append([t for t, _ in page.blocks])
             kinds.append(bytes(kind[k] for _, k in page.blocks))
             undecided.append(any(k in (MAYBE, FREE) for k in kinds[-1]))
