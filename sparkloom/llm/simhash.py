@@ -167,10 +167,11 @@ def _with_alike(docs: DataFrame, signed: DataFrame, classes: DataFrame) -> DataF
     texts = docs.select(text_key().alias("t"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     seeds = likeness.seeds(texts)
     prints = stage(signed.select("t", "fp").distinct(), "prints")
-    crowded = not seeds.filter(F.col("many") > CROWD).isEmpty()
+    crowds = seeds.filter(F.col("many") > likeness.CROWD)
+    crowded = not crowds.isEmpty()
     for star in (1, 2, None) if crowded else (None,):
         homes = stage(prints.join(dealt(placed.select("fp", "_root")), "fp").select("t", "_root"), "homes")
-        rows = seeds if star is None else seeds.filter(F.col("many") > CROWD)
+        rows = seeds if star is None else crowds
         found = likeness.links(rows.join(dealt(homes), "t"), texts, prints, star)
         if not found.isEmpty():
             old = (edges, placed)
