@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.session import drop, stage, width
+from sparkloom.session import drop, release, stage, width
 
 #: Multipliers up to which the full Hessian is solved on the driver (its cells are at most this squared); beyond it each family takes its diagonal steps in turn.
 MOST_MULTIPLIERS = 512
@@ -216,6 +216,7 @@ def whole_copies(docs: DataFrame, sources: DataFrame) -> DataFrame:
     order = [F.col("key"), F.asc_nulls_last("doc_id"), F.col("size"), F.col("mark"), F.col("rid")]
     summed = running_sum(docs, ["source"], order, F.col("size"), "_sum")
     marked = stage(summed.join(s, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("_extra", F.col("_sum") <= F.col("_need")), "marked")
+    release(docs.sparkSession)
     left = marked.groupBy("source", "_need").agg(F.coalesce(F.max(F.when(F.col("_extra"), F.col("_sum"))), F.lit(0)).alias("_got"))
     left = stage(left.select(F.col("source").alias("_s"), (F.col("_need") - F.col("_got")).alias("_left")), "left")
 
@@ -266,6 +267,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     cells = stage(sized.groupBy("source", "lang", class_.alias("class")).agg(F.sum("size").alias("tokens")), "cells")
     totals = cells.groupBy("source").agg(F.sum("tokens").alias("source_size"))
     targets = stage(weighted_targets(totals, weights, share, cap), "targets")
+    release(docs.sparkSession)
     # A source without words has nothing to balance and keeps its documents once.
     rated = entropy_rates(cells, {"source": targets.filter("source_size > 0").select("source", "target")})
     rates = rated.groupBy(F.col("source").alias("_r")).agg(F.max("rate").alias("rate"))
@@ -285,6 +287,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """
     m = mix(docs, **how).groupBy(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("mark").alias("__t")).agg(F.sum("copies").alias("__c"), F.count("*").alias("__m"))
     m = stage(m.filter("__c > 0"), "mixed")
+    release(docs.sparkSession)
     # The input's columns travel in one struct, so that their names may be any.
     rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__id"), F.col("source").cast("string").alias("__from"), text_mark(F.col("text").cast("string")).alias("__u"))
     on = F.col("__id").eqNullSafe(F.col("__d")) & F.col("__from").eqNullSafe(F.col("__s")) & (F.col("__u") == F.col("__t"))

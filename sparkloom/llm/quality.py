@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.session import stage
+from sparkloom.session import release, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -120,14 +120,18 @@ def _distance(df: DataFrame) -> DataFrame:
     return df.withColumn("_d2", sum((F.col(f"_z{i}") * F.col(f"_z{i}") for i in range(d)), F.lit(0.0))).drop(*(f"_z{i}" for i in range(d)))
 
 
-def _bounded(staged: DataFrame, most: int = MOST_GROUPS) -> DataFrame:
-    """A staged table to be broadcast if its rows, which are counted, are few; else it is joined by a shuffle."""
-    return F.broadcast(staged) if staged.limit(most + 1).count() <= most else staged
+def _few(staged: DataFrame, most: int = MOST_GROUPS) -> bool:
+    return staged.limit(most + 1).count() <= most
 
 
-def _with(df: DataFrame, params: DataFrame) -> DataFrame:
+def _bounded(staged: DataFrame, few: bool | None = None) -> DataFrame:
+    """A staged table to be broadcast if its rows, which are counted unless ``few`` tells it, are few; else it is joined by a shuffle."""
+    return F.broadcast(staged) if (_few(staged) if few is None else few) else staged
+
+
+def _with(df: DataFrame, params: DataFrame, few: bool) -> DataFrame:
     """Joins a group's parameters: a few hundred bytes a group, so rows of a hot group stay where they are."""
-    p = _bounded(params).withColumnRenamed("_g", "_pg")
+    p = _bounded(params, few).withColumnRenamed("_g", "_pg")
     return df.join(p, F.col("_g") == F.col("_pg")).drop("_pg")
 
 
@@ -151,9 +155,10 @@ def fit(stats: DataFrame, part: float = 0.75, steps: int = 6, least: int = 200)
     keyed = rows.join(pick, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")))
     # A pooled estimate takes all rows of the language or table, not only those of its small sources.
     levels = [F.col("_own"), F.to_json(F.struct(F.lit("l").alias("k"), "lang")), F.lit("all")]
-    wanted = _bounded(stage(named.select(F.col("_g").alias("_w")).distinct(), "wanted"))
+    wanted = stage(named.select(F.col("_g").alias("_w")).distinct(), "wanted")
+    few = _few(wanted)  # estimates and borders have a row for each wanted group at most
     cells = keyed.select(*(f"_x{i}" for i in range(len(DIMS))), F.explode(F.array_distinct(F.array(*levels))).alias("_g"))
-    cells = stage(cells.join(wanted, F.col("_g") == F.col("_w"), "left_semi"), "vectors")
+    cells = stage(cells.join(_bounded(wanted, few), F.col("_g") == F.col("_w"), "left_semi"), "vectors")
 
     d = len(DIMS)
     half = [F.percentile_approx(f"_x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(1000)).alias(f"c{i}") for i in range(d)]
@@ -164,11 +169,13 @@ def fit(stats: DataFrame, part: float = 0.75, steps: int = 6, least: int = 200)
         *((F.sqrt(sigma(i) * sigma(i) + FLOORS[DIMS[i]] ** 2) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(d) for j in range(i + 1)),
     )
     params = stage(params, "estimate")
+    release(stats.sparkSession)
     for _ in range(steps):
-        far = _distance(_with(cells, params))
+        far = _distance(_with(cells, params, few))
         border = stage(far.groupBy(F.col("_g").alias("_bg")).agg(F.percentile_approx("_d2", F.lit(part), F.lit(1000)).alias("_b")), "border")
-        near = far.join(_bounded(border), F.col("_g") == F.col("_bg")).filter("_d2 <= _b")
+        near = far.join(_bounded(border, few), F.col("_g") == F.col("_bg")).filter("_d2 <= _b")
         params = stage(_factor(near.groupBy("_g").agg(*_moments())), "estimate")
+        release(stats.sparkSession)
     return stage(named.join(params.withColumnRenamed("_g", "_pg"), F.col("_g") == F.col("_pg")).drop("_g", "_pg"), "estimates")
 
 
