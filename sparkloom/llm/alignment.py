@@ -250,7 +250,7 @@ def align(docs: DataFrame, names: tuple[str, str] | None = None, block_bytes: in
     with open(names[0], encoding="utf-8") as f, open(names[1], "rb") as g:
         shared = spark.sparkContext.broadcast((f.read(), g.read()))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    blocks = stage(rows.mapInArrow(bounded(_blocks(names, shared, block_bytes)), BLOCK).withColumn("block", F.monotonically_increasing_id()), "blocks")
+    blocks = stage(rows.mapInArrow(bounded(_blocks(names, shared, block_bytes)), BLOCK).withColumn("block", F.monotonically_increasing_id()), "blocks", wide=True)
     each = blocks.select("block", F.posexplode(F.arrays_zip("pairs", "counts")).alias("at", "x")).select("block", "at", F.col("x.pairs").alias("pair"), F.col("x.counts").alias("n"))
     counted = stage(each.groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
     second = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("b")
